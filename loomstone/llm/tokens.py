@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,22 @@ REMEMBERED = 1_500_000
 _encoders: dict[str, Encoder] = {}
 
 
+class Remembered(dict):
+    """The bytes of the ids of each chunk seen, found by `make` where missing; emptied when there are REMEMBERED."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.make(chunk)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(chunk) < 64:
+            self[chunk] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as encode(text, add_special_tokens=False) gives them.
 
@@ -49,42 +65,38 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.width = self.whole.model, 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         # The byte-level alphabet: bytes that print stand for themselves, the others for code points from 256 on.
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.chunks: dict[str, list[int]] = {}
+        self.odd = re.compile("|".join([r"[\x1c-\x1f\x85]", *map(re.escape, self.special)])).search
+        self.doubled = re.compile(r" (?:\s|$)").search
+        self.chunks = Remembered(self.chunk)
+        self.spaced = Remembered(lambda word: self.chunk(f" {word}"))
         # Only the byte-level scheme with this pre-tokenization can be cut so.
         probe = "It's 12  odd\n étés, we'll\tsee..."
-        self.cut = self.by_chunk(probe) == self.whole.encode(probe, add_special_tokens=False).ids
-
-    def chunk(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pieces(text):
-            ids += [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        if len(text) < 64:
-            self.chunks[text] = ids
-        return ids
-
-    def by_chunk(self, text: str) -> list[int]:
-        parts = [x for x in re.split(r"(?= \S)", text) if x] if re.search(r" (?:\s|$)", text) else None
-        if parts is None:
-            first, *rest = text.split(" ")
-            parts = [first] * bool(first) + [f" {x}" for x in rest]
-        out: list[int] = []
-        get, make = self.chunks.get, self.chunk
-        for x in parts:
-            ids = get(x)
-            out += make(x) if ids is None else ids
-        return out
+        self.cut = self.by_chunk(probe) == self.packed(self.whole.encode(probe, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        tokens = self.model.tokenize
+        return self.packed([x.id for piece in self.pieces(text) for x in tokens(piece.encode().decode("latin-1").translate(self.alphabet))])
+
+    def by_chunk(self, text: str) -> bytes:
+        if self.doubled(text):
+            return b"".join([self.chunks[x] for x in re.split(r"(?= \S)", text) if x])
+        first, *rest = text.split(" ")
+        return (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
-    def ids(self, text: str) -> list[int]:
-        if not self.cut or any(x in text for x in self.special) or re.search(r"[\x1c-\x1f\x85]", text):
-            return self.whole.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned integers."""
+        if not self.cut or self.odd(text):
+            return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
         return self.by_chunk(text)
 
 
@@ -129,21 +141,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         from pyspark import TaskContext
 
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        kind, seg, before = f"<u{encode.width}", 0, 0
-        pieces: list[np.ndarray] = []
+        seg, before, end = 0, 0, encode.packed([end_id])
+        pieces: list[bytes] = []
         offsets, names = [0], []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(pieces)
+            ids = np.frombuffer(b"".join(pieces), encode.kind)
             row = [[part], [seg], [len(ids)], [segment(ids, offsets, names, before)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "seg", "tokens", "data"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode.ids(text.as_py() or ""), end_id], kind)
+                ids = encode.ids(text.as_py() or "") + end
                 pieces.append(ids)
                 names.append(doc)
-                offsets.append(offsets[-1] + len(ids))
+                offsets.append(offsets[-1] + len(ids) // encode.width)
                 if offsets[-1] >= SEGMENT_TOKENS:
                     yield flush()
                     seg, before, pieces, offsets, names = seg + 1, before + offsets[-1], [], [0], []
