@@ -8,7 +8,6 @@ answer, is there too, so that a paraphrase is found and a chance likeness is not
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,24 +17,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Latent dimensions, and the columns sketched beyond them.
-RANK, OVERSAMPLE = 32, 16
+RANK, OVERSAMPLE = 64, 16
 #: Documents whose passages the SVD is fitted on (expected; taken by a hash). Document frequencies come from all.
 FIT_DOCS = 10_000
 #: Words of a passage when frequencies are counted and the space is fitted.
 PASSAGE = 32
 #: Lengths of windows; an item belongs to the least that holds it.
-SCALES = (8, 16, 32, 64, 128, 256)
-#: Cosine that makes a candidate; coverage that convicts alone, or with the answer.
-NEAR, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.6, 0.75, 0.6, 0.75
+SCALES = (8, 12, 18, 27, 40, 60, 90, 135, 200, 300)
+#: Cosine that makes a candidate, and the part of the item's weight (sum of squared IDF) that a window's words must have.
+NEAR, MASS = 0.6, 0.5
+#: Coverage of an item that convicts alone, or with its answer.
+COVERED, COVERED_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
 #: Words at the end of an item that count as its answer.
 ANSWER_WORDS = 5
+#: Words of texts that are compared together.
+TOGETHER = 20_000
 #: Items of the benchmark that one pass over the documents takes.
 ITEMS = 4096
-WORD = re.compile(r"[^\W_]+")
+#: ASCII characters that aren't letters or digits part words.
+PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if isinstance(text, str) else []
+def words(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(PARTS).split() if isinstance(text, str) else []
+
+
+class Vocabulary(dict):
+    """Numbers of words; what it lacks has the number after all of them, and isn't added."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -58,7 +72,7 @@ class Index:
 
     ids: list[int]
     items: list[list[int]]
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     basis: np.ndarray
 
@@ -68,30 +82,44 @@ class Index:
         for k, item in enumerate(self.items):
             scale = next((s for s in SCALES if len(item) <= s), SCALES[-1])
             self.by_scale.setdefault(scale, []).append(k)
-        self.vectors = {}
+        self.square = np.append(self.idf**2, 0.0)
+        self.scale_of = {k: scale for scale, ks in self.by_scale.items() for k in ks}
+        self.different = [len({*item}) for item in self.items]
+        self.vectors, self.masses = {}, {}
         for scale, ks in self.by_scale.items():
             v = np.stack([self.rows[self.items[k]].sum(0) for k in ks])
             self.vectors[scale] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            self.masses[scale] = np.array([self.square[self.items[k]].sum() for k in ks])
 
-    def near(self, ids: np.ndarray, cut: float = NEAR) -> dict[int, dict[int, float]]:
-        """{item: {start of window: cosine}} of the windows of a document's word ids that come near an item of their scale."""
-        sums = np.zeros((len(ids) + 1, self.rows.shape[1]), np.float32)
-        np.cumsum(self.rows[ids], axis=0, out=sums[1:], dtype=np.float32)
-        out: dict[int, dict[int, float]] = {}
+    def near(self, ids: np.ndarray, cut: float = NEAR) -> list[tuple[int, int, float]]:
+        """(item, start of window, cosine) of the windows of word ids that come near an item of their scale.
+
+        A window with too little of the vocabulary's weight for any item of its scale is passed over before its vector is made.
+        """
+        mass = np.zeros(len(ids) + 1)
+        np.cumsum(self.square[ids], out=mass[1:])
+        sums, out = None, []
         for scale, ks in self.by_scale.items():
             step = max(2, scale // 4)
             starts = np.arange(0, max(1, len(ids) - scale + step), step)
-            v = sums[np.minimum(starts + scale, len(ids))] - sums[starts]
-            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            cos = (v @ self.vectors[scale].T) / np.maximum(norm, 1e-6)[:, None]
-            for r, c in zip(*np.nonzero(cos >= cut)):
-                out.setdefault(ks[c], {})[int(starts[r])] = float(cos[r, c])
+            ends = np.minimum(starts + scale, len(ids))
+            own = mass[ends] - mass[starts]
+            some = np.flatnonzero(own >= MASS * self.masses[scale].min())
+            if not len(some):
+                continue
+            if sums is None:
+                sums = np.zeros((len(ids) + 1, self.rows.shape[1]), np.float32)
+                np.cumsum(self.rows[ids], axis=0, out=sums[1:], dtype=np.float32)
+            starts, ends, own = starts[some], ends[some], own[some]
+            v = sums[ends] - sums[starts]
+            cos = (v @ self.vectors[scale].T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-6)[:, None]
+            r, c = np.nonzero((cos >= cut) & (own[:, None] >= MASS * self.masses[scale]))
+            out += [(ks[y], int(starts[x]), float(cos[x, y])) for x, y in zip(r, c)]
         return out
 
     def check(self, ids: np.ndarray, item: int, starts: list[int]) -> tuple[float, float]:
         """(coverage, answer) of an item in the regions around windows: the longest common subsequence by the item's length, and by that of its end."""
-        own = self.items[item]
-        scale = next((s for s in SCALES if len(own) <= s), SCALES[-1])
+        own, scale = self.items[item], self.scale_of[item]
         tail, best = own[-ANSWER_WORDS:], (0.0, 0.0)
         regions: list[list[int]] = []
         margin = scale // 2 if len(own) <= SCALES[-1] else len(own)
@@ -103,28 +131,41 @@ class Index:
                 regions.append([a, b])
         for a, b in regions:
             there = ids[a:b].tolist()
+            if len({*own}.intersection(there)) < COVERED_WITH_ANSWER * self.different[item] / 2:
+                continue
             cover = common_subsequence(own, there) / len(own)
             best = max(best, (cover, common_subsequence(tail, there) / len(tail)))
         return best
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, coverage, answer) of the items that the text has."""
-        found = words(text)
-        if not found:
-            return []
+    def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text (item_id, cosine, coverage, answer) of the items that it has."""
         if not hasattr(self, "rows"):
             self.prepare()
-        get, none = self.vocabulary.get, len(self.vocabulary)
-        ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
-        if (ids != none).sum() < 2:
-            return []
-        out = []
-        for item, windows in self.near(ids).items():
-            # Words outside the vocabulary are like none of an item's.
-            cover, answer = self.check(ids, item, [*windows])
-            if cover >= COVERED or (cover >= COVERED_WITH_ANSWER and answer >= ANSWER):
-                out.append((self.ids[item], max(windows.values()), cover, answer))
-        return sorted(out)
+        none = len(self.vocabulary)
+        out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+        # Texts are read together, parted by so many foreign words that no window reaches from one to the next.
+        gap = np.full(max(self.by_scale), none, np.int64)
+        pieces, places, at = [], [], 0
+        for k, text in enumerate(texts):
+            found = words(text)
+            if found:
+                ids = self.vocabulary.numbers(found)
+                pieces += [ids, gap]
+                places.append((at, k, ids))
+                at += len(ids) + len(gap)
+            if places and (at >= TOGETHER or k == len(texts) - 1):
+                bounds = np.array([p[0] for p in places])
+                windows: dict[tuple[int, int], dict[int, float]] = {}
+                for item, start, cos in self.near(np.concatenate(pieces)):
+                    own = int(np.searchsorted(bounds, start, "right")) - 1
+                    windows.setdefault((own, item), {})[start - places[own][0]] = cos
+                for (own, item), starts in sorted(windows.items()):
+                    # Words outside the vocabulary are like none of an item's.
+                    cover, answer = self.check(places[own][2], item, [*starts])
+                    if cover >= COVERED or (cover >= COVERED_WITH_ANSWER and answer >= ANSWER):
+                        out[places[own][1]].append((self.ids[item], max(starts.values()), cover, answer))
+                pieces, places, at = [], [], 0
+        return [sorted(x) for x in out]
 
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
@@ -153,26 +194,29 @@ def build(docs: DataFrame, items: list[tuple[int, str]]) -> Index | None:
     kept = [(i, w) for i, t in items if (w := words(t))]
     if not kept:
         return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in kept for w in ws}))}
-    size, none = len(vocabulary), len(vocabulary)
-
-    def passages(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, word) of the words of the vocabulary."""
-        get = vocabulary.get
-        found = words(text)
-        ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
-        at = np.flatnonzero(ids != none)
-        return at // PASSAGE, ids[at]
+    vocabulary = Vocabulary({w: k for k, w in enumerate(sorted({w for _, ws in kept for w in ws}))})
+    size = len(vocabulary)
+
+    def passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(passage, word) of the words of the vocabulary and the number of passages, for about TOGETHER words at a time."""
+        ids, at, base = [], [], 0
+        for k, text in enumerate(texts):
+            own = vocabulary.numbers(words(text))
+            ids.append(own)
+            at.append(np.arange(len(own)) // PASSAGE + base)
+            base += -(-len(own) // PASSAGE)
+            if base and (base * PASSAGE >= TOGETHER or k == len(texts) - 1):
+                w = np.concatenate(ids)
+                known = w != size
+                yield np.concatenate(at)[known], w[known], base
+                ids, at, base = [], [], 0
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(size + 1), 0
+        df = np.zeros(size + 1)
         for batch in batches:
-            for t in batch["text"]:
-                p, w = passages(t)
-                if len(p):
-                    pairs = np.unique(p * size + w)
-                    df[:size] += np.bincount(pairs % size, minlength=size)
-                    df[size] += int(p[-1]) + 1
+            for p, w, n in passages(batch["text"].tolist()):
+                df[:size] += np.bincount(np.unique(p * size + w) % size, minlength=size)
+                df[size] += n
         yield blocks(df)
 
     df = summed(docs.select("text").mapInPandas(frequencies, "block int, values binary"), size + 1)
@@ -191,23 +235,18 @@ def build(docs: DataFrame, items: list[tuple[int, str]]) -> Index | None:
         counts = np.diff([*starts, len(p)])
         x = x / np.repeat(np.maximum(norm, 1e-9), counts)
         z = np.add.reduceat(x[:, None] * omega[w], starts)
-        out = np.zeros((size, width))
-        np.add.at(out, w, x[:, None] * np.repeat(z, counts, axis=0))
+        out, order = np.zeros((size, width)), np.argsort(w, kind="stable")
+        sorted_w = w[order]
+        firsts = np.flatnonzero(np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]]))
+        out[sorted_w[firsts]] = np.add.reduceat((x[:, None] * np.repeat(z, counts, axis=0))[order], firsts)
         return out
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y = np.zeros((size, width))
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                base, ps, ws = 0, [], []
-                for t in batch["text"].iloc[at : at + 64]:
-                    p, w = passages(t)
-                    if len(p):
-                        ps.append(p + base)
-                        ws.append(w)
-                        base += int(p[-1]) + 1
-                if ps:
-                    y += weighted(np.concatenate(ps), np.concatenate(ws))
+            for p, w, _ in passages(batch["text"].tolist()):
+                if len(p):
+                    y += weighted(p, w)
         yield blocks(y)
 
     # One row: the expected part of the rows that makes FIT_DOCS.
@@ -250,7 +289,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(doc, *m) for doc, t in zip(batch["doc_id"], batch["text"]) for m in index.matches(t)]
+                rows = [(doc, *m) for doc, found in zip(batch["doc_id"], index.matches(batch["text"].tolist())) for m in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "coverage", "answer"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         found = docs.select("doc_id", "text").mapInPandas(search, SCHEMA)
@@ -271,7 +310,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             at = schema.fieldNames().index("text")
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in index.matches(batch.column(at).to_pylist())], pa.bool_()))
 
         out = out.mapInArrow(keep, schema)
     return out
