@@ -1 +1 @@
-"""Subpackage of loomstone."""
+"""Log operators on streams; each gives what its batch form gives once the input has ended."""
