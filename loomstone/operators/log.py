@@ -176,3 +176,8 @@ def staging_states(events: DataFrame, idle_us: int) -> DataFrame:
     state = F.when(F.col("kind").isin("begin", "put_chunk"), "Open").when(F.col("kind") == "seal", "Sealed").when(F.col("kind") == "finalize", "Finalizing").when(F.col("kind") == "adopt", "Adopted").otherwise("Aborted")
     idle = F.col("now_us") - F.col("ts_us") > idle_us
     return last.select("session", F.when(state.isin("Open", "Sealed") & idle, "Expired").otherwise(state).alias("state"), "chunks")
+
+
+def shard_of(ns: Column, shards: int) -> Column:
+    """The shard of a namespace: its first two bytes, little-endian, modulo the shards."""
+    return F.conv(F.concat(F.substring(ns, 3, 2), F.substring(ns, 1, 2)), 16, 10).cast("long") % shards

@@ -139,3 +139,26 @@ def project_edges(edges: DataFrame, mode: str) -> DataFrame:
         if m == mode:
             action = F.when(F.col("kind") == kind, F.lit(what)).otherwise(action)
     return edges.select("src", "dst", "kind", action.alias("action"))
+
+
+def read_verdict(kind: Column, size: Column, wanted: str, most: int) -> Column:
+    """A bounded, typed read: refused by size before it is by type."""
+    return F.when(size > most, "too-large").when(kind != wanted, "wrong-type").otherwise("ok")
+
+
+def pack_limits(objects: DataFrame, by: list[str], most_bytes: int, most_object: int, most_objects: int = 1_000_000) -> DataFrame:
+    """(by, objects, decoded, largest, refused): the size of packs and whether it is beyond a limit."""
+    sums = objects.groupBy(*by).agg(F.count("*").alias("objects"), F.sum("size").alias("decoded"), F.max("size").alias("largest"))
+    return sums.withColumn("refused", (F.col("decoded") > most_bytes) | (F.col("largest") > most_object) | (F.col("objects") > most_objects))
+
+
+def gc_counts(dead: DataFrame, grace_days: int) -> DataFrame:
+    """(deleted, kept_young): unreferenced objects beyond the days of grace, and those within."""
+    old = F.col("age_days") > grace_days
+    return dead.agg(F.sum(old.cast("long")).alias("deleted"), F.sum((~old).cast("long")).alias("kept_young"))
+
+
+def ref_state_digest(refs: DataFrame) -> DataFrame:
+    """(repo, digest): the hash of a repository's references in canonical order."""
+    row = F.concat_ws(":", "name", F.col("target").cast("string"))
+    return refs.groupBy("repo").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ";"), 256).alias("digest"))

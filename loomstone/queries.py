@@ -222,7 +222,8 @@ def revision_hops(v):
     return G.hops(v["commit_parents"], tips(v, "true"), [("~", 2), ("^", 2)])
 
 
-@query("topo_depth")
+@query("topo_depth", """WITH RECURSIVE d(id, depth) AS (SELECT id, 0 FROM commits WHERE id NOT IN (SELECT commit_id FROM commit_parents) UNION SELECT p.commit_id, d.depth + 1 FROM d JOIN commit_parents p ON p.parent_id = d.id)
+    SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY id""")
 def topo_depth(v):
     return G.topo_depth(v["commit_parents"], v["commits"])
 
@@ -410,7 +411,8 @@ def staging_sessions(v):
     return L.staging_states(v.sql(STAGING), 50_000)
 
 
-@query("chain_digests")
+@query("chain_digests", """WITH RECURSIVE c(ns, seq, chained) AS (SELECT ns, seq, sha256(digest) FROM txn_log WHERE seq = 1 UNION ALL SELECT t.ns, t.seq, sha256(c.chained || t.digest) FROM c JOIN txn_log t ON t.ns = c.ns AND t.seq = c.seq + 1)
+    SELECT ns, seq, chained FROM c""")
 def chain_digests(v):
     return L.chain_digests(v["txn_log"])
 
@@ -421,7 +423,7 @@ def group_formation(v):
     return L.form_groups(arrivals, txns=16, size=20_000, open_us=20_000)
 
 
-@query("speculative_cas")
+@query("speculative_cas", "SELECT ns, seq, row_number() OVER (PARTITION BY ns, op_id % 4 ORDER BY seq) = 1 AS accepted FROM txn_log")
 def speculative_cas(v):
     moves = v.sql("SELECT ns, seq, op_id % 4 AS name, CAST(NULL AS BIGINT) AS expected, op_id AS new FROM txn_log")
     return L.speculative_cas(moves)
@@ -472,7 +474,7 @@ def json_merge(v):
     return merge_files(files, BY_EXTENSION).select("path", "status")
 
 
-@query("xml_merge")
+@query("xml_merge", "SELECT CAST(page_id AS VARCHAR) || '.xml' AS path, 'merged' AS status, '<page><url>' || regexp_replace(url, '[&<>]', '_', 'g') || '</url><n>1</n></page>' AS content FROM pages")
 def xml_merge(v):
     page = F.concat(F.lit("<page><url>"), F.regexp_replace("url", "[&<>]", "_"), F.lit("</url><n>"))
     files = v["pages"].select(F.concat(F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), *[F.concat(page, F.lit(n), F.lit("</n></page>")).alias(s) for s, n in (("base", "0"), ("ours", "1"), ("theirs", "0"))])
@@ -493,6 +495,60 @@ def pack_round_trip(v):
     return unpack_objects(pack_objects(objects, per_pack=256)).groupBy("type", F.sha2("body", 256).alias("body")).agg(F.count("*").alias("objects"))
 
 
+# ---- reads and counts of objects
+
+OBJECTS = "SELECT sha2(CAST(doc_id AS STRING), 256) AS id, CASE doc_id % 4 WHEN 0 THEN 'tree' WHEN 1 THEN 'commit' ELSE 'blob' END AS type, n_chars AS size, doc_id % 30 AS age_days FROM documents"
+
+
+@query("prefix_scan", f"SELECT id FROM ({OBJECTS}) o WHERE id LIKE 'a1%'")
+def prefix_scan(v):
+    return v.sql(OBJECTS).where(F.col("id").startswith("a1")).select("id")
+
+
+@query("ambiguous_prefix", f"SELECT id, count(*) OVER () > 1 AS ambiguous FROM (SELECT id FROM ({OBJECTS}) o WHERE id LIKE '0%' ORDER BY id LIMIT 5) x")
+def ambiguous_prefix(v):
+    return G.resolve_prefix(v.sql(OBJECTS), "0", shortest=1)
+
+
+@query("typed_read", f"SELECT id, CASE WHEN size > 5000 THEN 'too-large' WHEN type <> 'blob' THEN 'wrong-type' ELSE 'ok' END AS verdict FROM ({OBJECTS}) o")
+def typed_read(v):
+    return v.sql(OBJECTS).select("id", R.read_verdict(F.col("type"), F.col("size"), "blob", 5000).alias("verdict"))
+
+
+@query("pack_limits", f"SELECT type, count(*) AS objects, CAST(sum(size) AS BIGINT) AS decoded, max(size) AS largest, sum(size) > 500000 OR max(size) > 20000 AS refused FROM ({OBJECTS}) o GROUP BY type")
+def pack_limits(v):
+    return R.pack_limits(v.sql(OBJECTS), ["type"], most_bytes=500_000, most_object=20_000)
+
+
+@query("gc_counts", f"""WITH RECURSIVE {UP.format(where="branch % 2 = 0")[len("WITH RECURSIVE ") :]} SELECT CAST(sum(CASE WHEN event_id % 30 > 14 THEN 1 ELSE 0 END) AS BIGINT) AS deleted, CAST(sum(CASE WHEN event_id % 30 <= 14 THEN 1 ELSE 0 END) AS BIGINT) AS kept_young FROM events WHERE event_id NOT IN (SELECT id FROM up)""")
+def gc_counts(v):
+    dead = G.unreachable(v["commits"].select("id"), v["commit_parents"], v["refs"].where("branch % 2 = 0"))
+    return R.gc_counts(dead.withColumn("age_days", F.col("id") % 30), grace_days=14)
+
+
+@query("ref_state_digest", "SELECT repo, sha256(string_agg(CAST(branch AS VARCHAR) || ':' || CAST(target AS VARCHAR), ';' ORDER BY CAST(branch AS VARCHAR) || ':' || CAST(target AS VARCHAR))) AS digest FROM refs GROUP BY repo")
+def ref_state_digest(v):
+    return R.ref_state_digest(v["refs"].select("repo", F.col("branch").cast("string").alias("name"), "target"))
+
+
+@query("newest_release", "SELECT repo, id FROM (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id DESC) AS k FROM releases) x WHERE k = 1")
+def newest_release(v):
+    return v["releases"].groupBy("repo").agg(F.max(F.struct("ts", "id")).alias("m")).select("repo", "m.id")
+
+
+@query("shard_of", "SELECT id, CAST(('0x' || substr(id, 3, 2) || substr(id, 1, 2)) AS BIGINT) % 4 AS shard FROM (SELECT sha256(CAST(user_id AS VARCHAR)) AS id FROM (SELECT DISTINCT user_id FROM events) u) x")
+def shard_of(v):
+    ids = v["events"].select(F.sha2(F.col("user_id").cast("string"), 256).alias("id")).distinct()
+    return ids.select("id", L.shard_of(F.col("id"), 4).alias("shard"))
+
+
+@query("compaction", "SELECT ns, object, generation, off FROM (SELECT *, row_number() OVER (PARTITION BY ns, object ORDER BY generation DESC) AS k FROM index_runs WHERE generation % 8 IN (5, 6, 7)) x WHERE k = 1")
+def compaction(v):
+    runs = v["index_runs"].withColumn("run", F.col("generation") % 8)
+    sizes = [(r["run"], 1, 0) for r in runs.select("run").distinct().collect()]
+    return L.newest_wins(runs.where(F.col("run").isin(L.compaction_groups(sizes, 3)[0])))
+
+
 # ---- streams
 
 
@@ -507,10 +563,10 @@ def stream_sequence(v):
     return stream.replay(v.spark, v.sql(HOLES).withColumn("seq", F.col("seq").cast("long")), stream.sequence_check)
 
 
-@query("stream_replay_guard")
+@query("stream_replay_guard", "SELECT DISTINCT user_id AS key, event_id % 3 AS nonce FROM events")
 def stream_replay_guard(v):
     requests = v.sql("SELECT user_id AS key, event_id % 3 AS nonce, CAST(ts AS TIMESTAMP) AS at FROM events")
-    return stream.replay(v.spark, requests, stream.replay_guard)
+    return stream.replay(v.spark, requests, stream.replay_guard).select("key", "nonce")
 
 
 @query("stream_staging", f"SELECT session, CASE WHEN last < 20 THEN 'Open' WHEN last = 20 THEN 'Sealed' WHEN last = 21 THEN 'Finalizing' ELSE 'Adopted' END AS state, chunks FROM (SELECT session, max(seq) AS last, count(DISTINCT CASE WHEN kind = 'put_chunk' THEN chunk END) AS chunks FROM ({STAGING}) s GROUP BY session) x")
