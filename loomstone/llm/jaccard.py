@@ -4,15 +4,16 @@
 2. Candidates, without loss: the hash space is cut into more segments than two linked sets can differ in elements, so
    linked sets agree in a whole segment. Sets are told apart by classes of size; a set meets its own class and
    the next. A key is a class, a segment and the sum of its elements: unlike single shingles, it isn't shared by texts that
-   have a passage in common. Keys travel in blocks of binary arrays; a key's sets are linked to their least one only.
-3. Components of these links are groups; a signature tree over a group's sets (nodes hold OR- and AND-combined token
-   bitmaps and the range of sizes) is traversed against itself, pruning node pairs by their largest possible overlap. What is left is verified exactly.
-   Groups too large for a task are first compared with hubs, in blocks; only what no hub links meets all blocks.
+   have a passage in common. Keys travel in blocks of binary arrays; the sets of a key are a run.
+3. A signature tree over a run's sets (nodes hold OR- and AND-combined token bitmaps and the range of sizes) is traversed
+   against itself, pruning node pairs by their largest possible overlap; the components of what is possible are groups.
+4. Within a group the same traversal is followed by exact verification. Groups too large for a task are joined within
+   blocks first; only what then isn't in the group's largest component meets all blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import components, discard, materialize
 
 #: Sets that one task compares with each other; larger groups are cut into blocks.
-BLOCK = 512
+BLOCK = 1024
+#: Sets of a run that are sifted by signatures in one task; all sets of a longer run are one group.
+RUN = 50_000
 LEAF = 32
 #: Bits of the filter of candidate documents: it bounds what is sent to all executors.
 FILTER_BITS = 1 << 24
@@ -124,8 +127,8 @@ def set_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys binary")
 
 
-def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
-    """(u, v): v shares a key with u, the least document of those that have the key."""
+def runs_of(sets: DataFrame, buckets: int) -> DataFrame:
+    """(run, id): the documents that have a key in common, as runs of two different sets or more; equal sets are one document, the least of their batch."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,20 +172,26 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
         keys, docs, which = keys[keep], docs[keep], which[keep]
         order = np.lexsort((docs, which, keys))
         keys, docs, which = keys[order], docs[order], which[order]
+        runs = np.zeros(0, np.uint64)
         if len(keys):
             first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])])
             keys, docs = keys[first], docs[first]
             order = np.lexsort((docs, keys))
             keys, docs = keys[order], docs[order]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            hub = np.repeat(docs[starts], np.diff([*starts, len(keys)]))
-            pairs = np.unique(np.stack([hub, docs], 1)[hub != docs], axis=0)
+            sizes = np.diff([*starts, len(keys)])
+            # Runs of the same sets are one, whatever their keys.
+            name = np.add.reduceat(mix(docs.view(np.uint64) + np.uint64(1)), starts) ^ sizes.astype(np.uint64)
+            alone = np.zeros(len(starts), bool)
+            alone[np.unique(name, return_index=True)[1]] = True
+            keep = np.repeat((sizes > 1) & alone, sizes)
+            runs, docs = np.repeat(name, sizes)[keep], docs[keep]
         else:
-            pairs = np.zeros((0, 2), np.int64)
-        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+            docs = np.zeros(0, np.int64)
+        return pa.table({"run": pa.array(runs.view(np.int64), pa.int64()), "id": pa.array(docs, pa.int64())})
 
     blocks = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "keys").mapInArrow(deal, "bucket int, keys binary, docs binary, sets binary, counts binary")
-    return blocks.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+    return blocks.groupBy("bucket").applyInArrow(meet, "run long, id long").distinct()
 
 
 class Filter:
@@ -196,7 +205,7 @@ class Filter:
 
 
 def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members (id, root) with the hashes of their sets. Texts aren't dealt: a filter of a fixed size drops nearly all others where they are read."""
+    """members (id) with the hashes of their sets. Texts aren't dealt: a filter of a fixed size drops nearly all others where they are read."""
     spark, keep = docs.sparkSession, Filter(members.select("id"))
     shared = spark.sparkContext.broadcast(keep.words)
 
@@ -218,19 +227,10 @@ def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 class Tree:
     """A signature tree: documents in leaves of LEAF, four nodes to a parent; levels[0] are the leaves."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int) -> None:
-        n = np.array([len(s) for s in sets])
-        least = np.array([int(s[0]) if len(s) else 0 for s in sets], np.uint64)
-        self.order = np.lexsort((least, n))
-        self.sets = [sets[k] for k in self.order]
-        self.n = n[self.order]
-        self.signs = np.zeros((len(sets), bits // 64), np.uint64)
-        for k, s in enumerate(self.sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            flags = np.zeros(bits, np.uint8)
-            flags[at] = 1
-            self.signs[k] = np.packbits(flags, bitorder="little").view(np.uint64)
-        starts = np.arange(0, len(sets), LEAF)
+    def __init__(self, n: np.ndarray, signs: np.ndarray) -> None:
+        self.order = np.lexsort((signs[:, 0], n))
+        self.n, self.signs = n[self.order], signs[self.order]
+        starts = np.arange(0, len(n), LEAF)
         any_of, all_of = np.bitwise_or.reduceat(self.signs, starts), np.bitwise_and.reduceat(self.signs, starts)
         low, high = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
         self.levels = [(any_of, all_of, low, high)]
@@ -241,6 +241,23 @@ class Tree:
             self.levels.append((any_of, all_of, low, high))
 
 
+def bits_for(most: int) -> int:
+    """Bits of a bitmap of sets of so many elements."""
+    return max(256, min(1 << 16, 1 << int(np.ceil(np.log2(4 * max(most, 1))))))
+
+
+def signature(s: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of a set: a bit for each element, by its low bits."""
+    flags = np.zeros(bits, np.uint8)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def narrowed(sign: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap folded to fewer bits: that of the same set."""
+    return np.bitwise_or.reduce(sign.reshape(-1, bits // 64), axis=0)
+
+
 class Union:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -258,15 +275,21 @@ class Union:
 
 
 def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) between sets of left and right (None: left itself), enough of them for the same components as all links have.
+    """Links (i, j) between sets of left and right (None: left itself), enough of them for the same components as all links have."""
+    bits = bits_for(max((len(s) for s in [*left, *(right or [])]), default=1))
+    tree = lambda sets: Tree(np.array([len(s) for s in sets]), np.stack([signature(s, bits) for s in sets]))
+    other = left if right is None else right
+
+    def verified(i: int, j: int) -> bool:
+        return linked(len(np.intersect1d(left[i], other[j], assume_unique=True)), len(left[i]), len(other[j]), num, den)
+
+    return traverse(tree(left), None if right is None else tree(right), num, den, verified)
 
-    Pairs that links found before already join are passed over.
-    """
-    most = max((len(s) for s in [*left, *(right or [])]), default=1)
-    bits = max(256, min(1 << 16, 1 << int(np.ceil(np.log2(4 * max(most, 1))))))
-    a = Tree(left, bits)
-    b = a if right is None else Tree(right, bits)
-    union, shift, links = Union(len(left) + (0 if right is None else len(right))), 0 if right is None else len(left), []
+
+def traverse(a: Tree, right: Tree | None, num: int, den: int, verified: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of the trees (None: the first with itself) that pass the bounds, and `verified` if given; pairs that earlier ones join already are passed over."""
+    b = a if right is None else right
+    union, shift, links = Union(len(a.n) + (0 if right is None else len(b.n))), 0 if right is None else len(a.n), []
 
     def possible(x: tuple, i: int, y: tuple, j: int) -> bool:
         """If a pair below the nodes can be linked: its overlap is at most the smaller size, less what AND and OR rule out."""
@@ -295,26 +318,55 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
             # Of a tree with itself, each pair of subtrees once: the first's documents don't all come after the second's.
             todo += pairs if right is not None else [p for p in pairs if p[1] * 4 ** p[0] <= p[3] * 4 ** p[2] + 4 ** p[2] - 1]
             continue
-        rows, cols = range(i * LEAF, min(i * LEAF + LEAF, len(left))), range(j * LEAF, min(j * LEAF + LEAF, len(b.sets)))
+        rows, cols = range(i * LEAF, min(i * LEAF + LEAF, len(a.n))), range(j * LEAF, min(j * LEAF + LEAF, len(b.n)))
+        # Pairs that are joined already need no look at their bitmaps.
+        parts = np.fromiter(map(union.find, rows), np.int64, len(rows))
+        others = np.fromiter((union.find(x + shift) for x in cols), np.int64, len(cols))
+        apart = parts[:, None] != others[None, :]
+        if not apart.any():
+            continue
         p, q = a.signs[rows.start : rows.stop], b.signs[cols.start : cols.stop]
         n, m = a.n[rows.start : rows.stop][:, None], b.n[cols.start : cols.stop][None, :]
         lost_p = np.bitwise_count(p[:, None, :] & ~q[None]).sum(2, dtype=np.int64)
         lost_q = np.bitwise_count(q[None] & ~p[:, None, :]).sum(2, dtype=np.int64)
         overlap = np.minimum(n - lost_p, m - lost_q)
-        ok = den * overlap >= num * (n + m - overlap)
+        ok = apart & (den * overlap >= num * (n + m - overlap))
         if right is None and i == j:
             ok &= np.triu(np.ones(ok.shape, bool), 1)
         for r, c in zip(*np.nonzero(ok)):
             u, v = rows.start + int(r), cols.start + int(c)
             if union.find(u) == union.find(v + shift):
                 continue
-            common = len(np.intersect1d(a.sets[u], b.sets[v], assume_unique=True))
-            if linked(common, len(a.sets[u]), len(b.sets[v]), num, den):
+            pair = int(a.order[u]), int(b.order[v])
+            if verified is None or verified(*pair):
                 union.join(u, v + shift)
-                links.append((int(a.order[u]), int(b.order[v])))
+                links.append(pair)
     return links
 
 
+def sifted(runs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links whose components hold every linked pair of a run: what the signatures of its sets leave possible."""
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in arrays], pa.int32()), pa.array([signature(x, bits_for(len(x))).tobytes() for x in arrays], pa.binary())], names=["id", "n", "sign"])
+
+    def sift(t: pa.Table) -> pa.Table:
+        ids, n = t.column("id").to_pylist(), t.column("n").to_numpy().astype(np.int64)
+        # Sets of a run are of two neighbouring classes of size: their bitmaps are nearly as wide, and folded to the narrowest.
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sign")]
+        bits = 64 * min(map(len, own))
+        found = traverse(Tree(n, np.stack([narrowed(x, bits) for x in own])), None, num, den)
+        return pa.table({"u": pa.array([ids[a] for a, _ in found], pa.int64()), "v": pa.array([ids[b] for _, b in found], pa.int64())})
+
+    sizes = runs.groupBy("run").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    sized = materialize(runs.join(sizes, "run"))
+    small = sized.where(F.col("size") <= RUN).select("run", "id").join(sets.select("id", "hashes").mapInArrow(signs, "id long, n int, sign binary"), "id")
+    links = small.groupBy("run").applyInArrow(sift, "u long, v long")
+    return links.unionAll(sized.where((F.col("size") > RUN) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v"))).distinct()
+
+
 def resolve(members: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): enough links within the groups of members (id, root, hashes) for their components."""
 
@@ -332,34 +384,31 @@ def resolve(members: DataFrame, num: int, den: int) -> DataFrame:
         ids, sets = arrays(t)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = tree_join([sets[k] for k in p], [sets[k] for k in q], num, den) if len(p) and len(q) else []
-        found = [(int(ids[p[a]]), int(ids[q[b]])) for a, b in found if ids[p[a]] != ids[q[b]]]
+        found = [(ids[p[a]], ids[q[b]]) for a, b in found if ids[p[a]] != ids[q[b]]]
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    sized = materialize(members.join(sizes, "root"))
+    sized = members.join(sizes, "root")
     links = sized.where(F.col("size") <= BLOCK).groupBy("root").applyInArrow(within, "u long, v long")
-    large = sized.where(F.col("size") > BLOCK)
+    large = materialize(sized.where(F.col("size") > BLOCK))
     if large.isEmpty():
         return links
-    # Groups beyond a task: everybody meets a hub, block by block; those that it doesn't link meet all blocks.
+    # Groups beyond a task: blocks join within, each with a few sets of the whole group among its own, which join the blocks.
     large = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = materialize(large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    hubs = large.groupBy("root").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "hashes", "blocks")).alias("hub")).select("root", "hub.*")
-    hub_rows = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "block", "id", "hashes", F.lit(0).alias("side"))
-    met = hub_rows.unionAll(large.select("root", "block", "id", "hashes", F.lit(1).alias("side"))).groupBy("root", "block").applyInArrow(across, "u long, v long")
-    met = materialize(met)
-    gone = met.select(F.col("v").alias("id")).unionAll(hubs.select("id")).distinct()
-    outside = large.join(gone, "id", "left_anti").select("root", "blocks", "id", "hashes")
-    outside = outside.withColumn("chunk", F.floor(F.pmod(F.xxhash64("id", F.lit(99)), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("blocks")).cast("int"))
-    outside = materialize(outside)
-    chunks = outside.select("root", "chunk").distinct()
+    hubs = large.where(F.pmod(F.xxhash64("id", F.lit(5)), F.col("size")) < 8)
+    in_all = hubs.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").drop("own")
+    inner = materialize(large.unionByName(in_all).select("root", "block", "id", "hashes").groupBy("root", "block").applyInArrow(within, "u long, v long"))
+    joined = materialize(components(inner).withColumnRenamed("root", "part").withColumnRenamed("node", "id"))
+    parts = large.join(joined, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    counts = parts.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("largest"))
+    # Two sets of the largest component are joined already; every other set meets all blocks.
+    outside = materialize(parts.join(counts, "root").where("part <> largest").select("root", "blocks", "block", "id", "hashes"))
+    each = outside.withColumnRenamed("block", "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "chunk", "block", "id", "hashes", F.lit(0).alias("side"))
+    chunks = outside.select("root", F.col("block").alias("chunk")).distinct()
     inside = large.join(chunks, "root").select("root", "chunk", "block", "id", "hashes", F.lit(1).alias("side"))
-    each = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "chunk", "block", "id", "hashes", F.lit(0).alias("side"))
-    parts = [links, met, each.unionAll(inside).groupBy("root", "chunk", "block").applyInArrow(across, "u long, v long")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    outer = each.unionAll(inside).groupBy("root", "chunk", "block").applyInArrow(across, "u long, v long")
+    return links.unionAll(inner).unionAll(outer)
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -374,10 +423,12 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     narrow = materialize(sets.select("doc_id", "n", "k1", "k2"))
     copies = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = materialize(candidate_links(sets, buckets))
+    runs = materialize(runs_of(sets, buckets))
     discard(sets)
-    members = materialize(components(candidates).select(F.col("node").alias("id"), "root"))
-    links = materialize(resolve(sets_of(docs, members, width), num, den))
+    full = materialize(sets_of(docs, runs.select("id").distinct(), width))
+    groups = components(sifted(runs, full, num, den)).select(F.col("node").alias("id"), "root")
+    links = materialize(resolve(full.join(groups, "id"), num, den))
+    discard(runs, full)
     roots = components(links).withColumnRenamed("node", "rep")
     classes = copies.join(roots, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
     joined = narrow.join(classes, ["k1", "k2"], "left")
