@@ -9,7 +9,6 @@ probability of the sum of the lesser weights over the sum of the greater ones, t
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,26 +16,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLES = 32
-#: Steps of the tables of Gamma quantiles.
-STEPS = 4096
-EMPTY = -1
-
-
-def gamma_quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of STEPS equal parts of (0, 1), by halving."""
-    out = []
-    for k in range(STEPS):
-        u, low, high = (k + 0.5) / STEPS, 0.0, 40.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if 1 - math.exp(-mid) * (1 + mid) < u else (low, mid)
-        out.append(low)
-    return out
-
-
-def constant(values: list[float]) -> Column:
-    """An array that the optimizer folds to one literal."""
-    return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
 def bounds_of(docs: DataFrame, parts: int) -> list[int]:
@@ -77,21 +56,23 @@ def edited(text: Column, following: Column) -> Column:
 
 def samples(terms: DataFrame, key: list[str], count: int) -> DataFrame:
     """(key, s0 ...): the samples of (key, term, weight), each the low 32 bits of a hash of the chosen (term, t)."""
-    quantiles = gamma_quantiles()
-    r_table, c_table = constant(quantiles), constant([math.log(x) for x in quantiles])
     terms = terms.withColumn("ln_w", F.log(F.col("weight").cast("double")))
+    low = F.lit((1 << 26) - 1)
+    # A uniform variate of 26 bits of a hash, never 0 or 1.
+    uniform = lambda bits: (bits.bitwiseAND(low) + F.lit(0.5)) / F.lit(float(1 << 26))
     drawn = []
     for k in range(count):
-        z = F.xxhash64("term", F.lit(k))
-        r = F.get(r_table, z.bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        ln_c = F.get(c_table, F.shiftrightunsigned(z, 12).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        b = F.shiftrightunsigned(z, 24).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+        z, y = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
+        # The sum of two exponential variates is Gamma(2, 1).
+        r = -F.log(uniform(z) * uniform(F.shiftrightunsigned(z, 26)))
+        ln_c = F.log(-F.log(uniform(y) * uniform(F.shiftrightunsigned(y, 26))))
+        b = (F.shiftleft(F.shiftrightunsigned(z, 52), 12) + F.shiftrightunsigned(y, 52)) / F.lit(float(1 << 24))
         t = F.floor(F.col("ln_w") / r + b)
         ln_a = ln_c - r * (t - b) - r
         # The least a in the high bits, which sort as a does; the choice in the low ones.
         high = F.shiftleft(F.floor((ln_a + F.lit(200.0)) * F.lit(float(1 << 22))).cast("long"), 32)
-        low = F.xxhash64(z, t.cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
-        drawn.append(F.min(high.bitwiseOR(low)).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"s{k}"))
+        choice = F.xxhash64(z, t.cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
+        drawn.append(F.min(high.bitwiseOR(choice)).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"s{k}"))
     return terms.groupBy(*key).agg(*drawn)
 
 
