@@ -132,11 +132,12 @@ def runs_of(sets: DataFrame, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, which, seen, arrays = [], [], set(), []
+            docs, which, seen, arrays = [], [], {}, []
             for doc, k1, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if k1 in seen:
+                    docs[seen[k1]] = min(docs[seen[k1]], doc)
                     continue
-                seen.add(k1)
+                seen[k1] = len(docs)
                 docs.append(doc)
                 which.append(k1)
                 arrays.append(np.frombuffer(keys.as_buffer(), np.uint64))

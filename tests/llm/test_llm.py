@@ -215,6 +215,20 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert found == root
 
 
+def test_jaccard_descending_copies(spark):
+    """Copies whose least doc_id doesn't come first in its batch keep the links of their set."""
+    from loomstone.llm.jaccard import one_of_each, similarity_classes
+
+    base = [f"v{k}" for k in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(k, " ".join(base), "en", "s", 1) for k in (9, 5, 3)] + [(4, " ".join(near), "en", "s", 1), (2, "apart from all others", "en", "s", 1)]
+    made = spark.createDataFrame(rows, DOCS).coalesce(1)
+    _, root = classes_of(rows, 4, 85, 100)
+    assert root == {9: 3, 5: 3, 3: 3, 4: 3, 2: 2}
+    assert {r["doc_id"]: r["component_id"] for r in similarity_classes(made, 4, 85, 100).collect()} == root
+    assert {r["doc_id"] for r in one_of_each(made, 4, 85, 100).collect()} == {2, 3}
+
+
 def test_secrets(spark, none):
     from loomstone.llm.secretscan import Automaton, find_secrets, symbols
 
