@@ -22,7 +22,7 @@ RANK, OVERSAMPLE = 64, 16
 FIT_DOCS = 10_000
 #: Words of a passage when frequencies are counted and the space is fitted.
 PASSAGE = 32
-#: Lengths of windows; an item belongs to the least that holds it.
+#: Lengths of windows, continued by half as much again up to the longest item; an item belongs to the least that holds it.
 SCALES = (8, 12, 18, 27, 40, 60, 90, 135, 200, 300)
 #: Cosine that makes a candidate, and the part of the item's weight (sum of squared IDF) that a window's words must have.
 NEAR, MASS = 0.6, 0.5
@@ -78,9 +78,11 @@ class Index:
 
     def prepare(self) -> None:
         self.rows = np.vstack([self.idf[:, None] * self.basis, np.zeros((1, self.basis.shape[1]))]).astype(np.float32)
-        self.by_scale = {}
+        self.by_scale, scales = {}, [*SCALES]
+        while scales[-1] < max(map(len, self.items)):
+            scales.append(scales[-1] * 3 // 2)
         for k, item in enumerate(self.items):
-            scale = next((s for s in SCALES if len(item) <= s), SCALES[-1])
+            scale = next(s for s in scales if len(item) <= s)
             self.by_scale.setdefault(scale, []).append(k)
         self.square = np.append(self.idf**2, 0.0)
         self.scale_of = {k: scale for scale, ks in self.by_scale.items() for k in ks}
@@ -91,18 +93,21 @@ class Index:
             self.vectors[scale] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             self.masses[scale] = np.array([self.square[self.items[k]].sum() for k in ks])
 
-    def near(self, ids: np.ndarray, cut: float = NEAR) -> list[tuple[int, int, float]]:
-        """(item, start of window, cosine) of the windows of word ids that come near an item of their scale.
+    def near(self, ids: np.ndarray, bounds: np.ndarray, cut: float = NEAR) -> list[tuple[int, int, float]]:
+        """(item, start of window, cosine) of the windows of word ids that come near an item of their scale. No window leaves its text; bounds are the texts' starts.
 
         A window with too little of the vocabulary's weight for any item of its scale is passed over before its vector is made.
         """
         mass = np.zeros(len(ids) + 1)
         np.cumsum(self.square[ids], out=mass[1:])
         sums, out = None, []
+        stops = np.append(bounds[1:], len(ids))
         for scale, ks in self.by_scale.items():
             step = max(2, scale // 4)
-            starts = np.arange(0, max(1, len(ids) - scale + step), step)
-            ends = np.minimum(starts + scale, len(ids))
+            # Steps of each text from its start to its end: the last windows hold the end alone.
+            counts = -(-(stops - bounds) // step)
+            starts = np.repeat(bounds, counts) + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+            ends = np.minimum(starts + scale, np.repeat(stops, counts))
             own = mass[ends] - mass[starts]
             some = np.flatnonzero(own >= MASS * self.masses[scale].min())
             if not len(some):
@@ -122,7 +127,7 @@ class Index:
         own, scale = self.items[item], self.scale_of[item]
         tail, best = own[-ANSWER_WORDS:], (0.0, 0.0)
         regions: list[list[int]] = []
-        margin = scale // 2 if len(own) <= SCALES[-1] else len(own)
+        margin = scale // 2
         for s in sorted(starts):
             a, b = max(0, s - margin), s + scale + margin
             if regions and a <= regions[-1][1] and b - regions[-1][0] <= 4 * (scale + margin):
@@ -141,22 +146,19 @@ class Index:
         """For each text (item_id, cosine, coverage, answer) of the items that it has."""
         if not hasattr(self, "rows"):
             self.prepare()
-        none = len(self.vocabulary)
         out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
-        # Texts are read together, parted by so many foreign words that no window reaches from one to the next.
-        gap = np.full(max(self.by_scale), none, np.int64)
         pieces, places, at = [], [], 0
         for k, text in enumerate(texts):
             found = words(text)
             if found:
                 ids = self.vocabulary.numbers(found)
-                pieces += [ids, gap]
+                pieces.append(ids)
                 places.append((at, k, ids))
-                at += len(ids) + len(gap)
+                at += len(ids)
             if places and (at >= TOGETHER or k == len(texts) - 1):
                 bounds = np.array([p[0] for p in places])
                 windows: dict[tuple[int, int], dict[int, float]] = {}
-                for item, start, cos in self.near(np.concatenate(pieces)):
+                for item, start, cos in self.near(np.concatenate(pieces), bounds):
                     own = int(np.searchsorted(bounds, start, "right")) - 1
                     windows.setdefault((own, item), {})[start - places[own][0]] = cos
                 for (own, item), starts in sorted(windows.items()):

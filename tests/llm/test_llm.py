@@ -352,6 +352,26 @@ def test_decontamination(spark, docs, none):
         assert common_subsequence(a, b) == table[-1][-1]
 
 
+def test_decontamination_long_items(spark):
+    """Items beyond the longest fixed window are found, verbatim and with a fifth of their words changed, alone or within a text."""
+    from loomstone.llm.decontam import leaks
+
+    rng = random.Random(6)
+    items = [(k, " ".join(f"q{rng.randrange(3000)}" for _ in range(n))) for k, n in enumerate((500, 700, 1000, 2500))]
+    rows, wanted = corpus(), set()
+    for k, text in items:
+        words = text.split()
+        changed = [f"other{x}" if x % 5 == 2 else w for x, w in enumerate(words)]
+        for j, own in enumerate((words, changed)):
+            for i, around in enumerate((0, 700)):
+                rows.append((30_000 + 10 * k + 2 * j + i, " ".join(["w01"] * around + own + ["w02"] * around), "en", "s", 1))
+                wanted.add((rows[-1][0], k))
+        # A third of an item is none.
+        rows.append((30_000 + 10 * k + 9, " ".join(words[: len(words) // 3]), "en", "s", 1))
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == wanted
+
+
 def test_lm_scores(spark, docs, none):
     from loomstone.llm import lmscore
 
