@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a local session gets a temporary one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,6 +51,46 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that no column has, whatever its case."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
+def remainder(doc_id: Column) -> Column:
+    """crc32 of doc_id as text, modulo 3; null for null."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that scatters them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_words: dict[bytes, int] = {}
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text: what ASCII white space parts, A-Z lower-cased."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(_words) > 1_000_000:
+        _words.clear()
+    get, one, ids = _words.get, xxhash.xxh3_64_intdigest, []
+    for w in words:
+        h = get(w)
+        if h is None:
+            h = one(w)
+            if len(w) < 40:
+                _words[w] = h
+        ids.append(h)
+    return np.array(ids, np.uint64)
+
+
 def with_running_total(df: DataFrame, key: list[str], order: list[str], value: str, total: str) -> DataFrame:
     """Adds `total`: the sum of `value` over the rows of the same key that come before, by `order`.
 
@@ -98,7 +141,7 @@ def with_running_total(df: DataFrame, key: list[str], order: list[str], value: s
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is the smallest node reachable.
+    """(node, root) for every node of the edges (u, v): root is the smallest node reachable. A table in the shared folder.
 
     Alternates large-star and small-star steps over edges in the shared folder. Only minima are gathered by
     node, so a hub with many edges needs no list of its neighbours. Raises if `rounds` don't suffice.
@@ -106,9 +149,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Dealt once by u for both the minima and the edges that they replace.
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small_least.select("u", F.col("m").alias("v"))).distinct()
         nxt = materialize(small)
@@ -117,6 +161,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = nxt
         if tuple(seen) == mark:
             roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-            return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+            out = materialize(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
+            discard(now)
+            return out
         mark = tuple(seen)
     raise RuntimeError("components did not settle")

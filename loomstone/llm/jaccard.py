@@ -1,14 +1,15 @@
 """N-gram Jaccard join: exact similarity classes of shingle sets, by signature trees.
 
-1. Each text becomes a sorted array of 64-bit hashes of its shingles. Texts with equal sets are one from here on.
+1. Each text becomes a sorted array of 64-bit hashes of its shingles. Texts with equal sets are one from here on, named by
+   a hash of the set.
 2. Candidates, without loss: the hash space is cut into more segments than two linked sets can differ in elements, so
    linked sets agree in a whole segment. Sets are told apart by classes of size; a set meets its own class and
    the next. A key is a class, a segment and the sum of its elements: unlike single shingles, it isn't shared by texts that
    have a passage in common. Keys travel in blocks of binary arrays; the sets of a key are a run.
-3. A signature tree over a run's sets (nodes hold OR- and AND-combined token bitmaps and the range of sizes) is traversed
-   against itself, pruning node pairs by their largest possible overlap; the components of what is possible are groups.
-4. Within a group the same traversal is followed by exact verification. Groups too large for a task are joined within
-   blocks first; only what then isn't in the group's largest component meets all blocks.
+3. A signature tree over the sets of overlapping runs (nodes hold OR- and AND-combined token bitmaps and the range of sizes) is
+   traversed against itself, pruning node pairs by their largest possible overlap; the components of what is possible are groups.
+4. Within a group the same traversal is followed by exact verification; only sets in groups are read again in full. Groups too large
+   for a task are joined within blocks first; only what then isn't in the group's largest component meets all blocks.
 """
 
 from __future__ import annotations
@@ -17,46 +18,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import components, discard, materialize, mix, unused, word_hashes
 
 #: Sets that one task compares with each other; larger groups are cut into blocks.
 BLOCK = 1024
-#: Sets of a run that are sifted by signatures in one task; all sets of a longer run are one group.
+#: Sets that runs which overlap may bring to one place; runs that would bring more go to places of their own.
+PLACE = 4096
+#: Sets of a place that are sifted by signatures in one task; all sets of a longer run are one group, for the exact comparison to part.
 RUN = 50_000
 LEAF = 32
-#: Bits of the filter of candidate documents: it bounds what is sent to all executors.
-FILTER_BITS = 1 << 24
-_words: dict[bytes, int] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that scatters them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bits of the filter of candidate documents, at most: it bounds what is sent to all executors (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted different hashes of the shingles of `width` words; all words as one shingle if there are fewer; none without words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > 1_000_000:
-        _words.clear()
-    get, one, ids = _words.get, xxhash.xxh3_64_intdigest, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = one(w)
-            if len(w) < 40:
-                _words[w] = h
-        ids.append(h)
-    h = np.array(ids, np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(width, len(h)), np.uint64)
     for k in range(min(width, len(h))):
@@ -106,123 +88,147 @@ def linked(common: int, a: int, b: int, num: int, den: int) -> bool:
     return den * common >= num * (a + b - common)
 
 
-def set_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, keys): each row's set size, 128 bits that stand for the set, and its keys."""
+def dealt(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, keys, sets, counts, docs, sizes): the texts as packs, each by buckets of its keys, from one reading.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    A row with keys holds those of a bucket, five bytes each, in order of the sets (64-bit hashes) that have them, with each set's number
+    of keys; equal sets of a pack are one. A row without holds the doc_ids of the pack, the sets and sizes of their texts.
+    """
 
-        scheme = Scheme(num, den)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme, types = Scheme(num, den), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
-            n, k1, k2, keys = [], [], [], []
-            for t in batch.column(1):
+            names, every, sizes, which, arrays, seen = batch.column(0).to_pylist(), [], [], [], [], set()
+            for doc, t in zip(names, batch.column(1)):
                 s = shingles(t.as_py(), width)
-                d = np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)
-                n.append(len(s))
-                k1.append(d[0])
-                k2.append(d[1])
-                keys.append(scheme.keys(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "k1", "k2", "keys"])
+                own = set_hash(s)
+                every.append(own)
+                sizes.append(len(s))
+                if len(s) and doc is not None and own not in seen:
+                    seen.add(own)
+                    which.append(own)
+                    arrays.append(scheme.keys(s))
+            if not names:
+                continue
+            rows = [(int(every[0] % buckets), b"", np.array(every, np.int64).tobytes(), b"", names, sizes)]
+            if arrays:
+                keys, at = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+                bucket = (keys % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                keys, at, bucket, which = keys[order], at[order], bucket[order], np.array(which, np.int64)
+                bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(bounds)):
+                    part = slice(bounds[b], bounds[b + 1])
+                    own, counts = np.unique(at[part], return_counts=True)
+                    # Within a bucket 40 bits tell keys apart but for a few, which cost a look at a signature.
+                    short = np.ascontiguousarray(keys[part].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+                    rows.append((int(b), short, which[own].tobytes(), counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), None, None))
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), types)], names=["bucket", "keys", "sets", "counts", "docs", "sizes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "bucket int, keys binary, sets binary, counts binary, docs array<long>, sizes array<long>")
+
+
+def set_hash(s: np.ndarray) -> int:
+    """64 bits that stand for a set of hashes."""
+    import xxhash
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys binary")
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s)).view(np.int64))
 
 
-def runs_of(sets: DataFrame, buckets: int) -> DataFrame:
-    """(run, id): the documents that have a key in common, as runs of two different sets or more; equal sets are one document, the least of their batch."""
+def met(packs: DataFrame) -> DataFrame:
+    """(run, id, doc_id, n): with run, the sets (id) that have a key in common, as runs of two or more; without, each document's set and its size."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, which, seen, arrays = [], [], {}, []
-            for doc, k1, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if k1 in seen:
-                    docs[seen[k1]] = min(docs[seen[k1]], doc)
-                    continue
-                seen[k1] = len(docs)
-                docs.append(doc)
-                which.append(k1)
-                arrays.append(np.frombuffer(keys.as_buffer(), np.uint64))
-            if not arrays:
+    def meet(t: pa.Table) -> pa.Table:
+        keys, which, names, sets, sizes = [], [], [], [], []
+        for short, own, counts, docs, n in zip(t.column("keys"), t.column("sets"), t.column("counts"), t.column("docs"), t.column("sizes")):
+            own = np.frombuffer(own.as_buffer(), np.int64)
+            if docs.is_valid:
+                names.append(docs.values)
+                sets.append(own)
+                sizes.append(n.values)
                 continue
-            keys = np.concatenate(arrays)
-            at = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, at, bucket = keys[order], at[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-            docs, which = np.array(docs, np.int64), np.array(which, np.int64)
-            rows = []
-            for b in np.flatnonzero(np.diff(bounds)):
-                part = slice(bounds[b], bounds[b + 1])
-                own, counts = np.unique(at[part], return_counts=True)
-                rows.append((int(b), keys[part].tobytes(), docs[own].tobytes(), which[own].tobytes(), counts.astype(np.uint32).tobytes()))
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256]), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "docs", "sets", "counts"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        def joined(name: str, kind: type) -> list[np.ndarray]:
-            return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-
-        counts = [c.astype(np.int64) for c in joined("counts", np.uint32)]
-        keys = np.concatenate(joined("keys", np.uint64))
-        docs = np.concatenate([np.repeat(d, c) for d, c in zip(joined("docs", np.int64), counts)])
-        which = np.concatenate([np.repeat(d, c) for d, c in zip(joined("sets", np.int64), counts)])
-        order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        same = np.concatenate([s[1:] == s[:-1], [False]])
-        keep = order[same | np.concatenate([[False], same[:-1]])]
-        keys, docs, which = keys[keep], docs[keep], which[keep]
-        order = np.lexsort((docs, which, keys))
-        keys, docs, which = keys[order], docs[order], which[order]
-        runs = np.zeros(0, np.uint64)
-        if len(keys):
-            first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])])
-            keys, docs = keys[first], docs[first]
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff([*starts, len(keys)])
-            # Runs of the same sets are one, whatever their keys.
-            name = np.add.reduceat(mix(docs.view(np.uint64) + np.uint64(1)), starts) ^ sizes.astype(np.uint64)
-            alone = np.zeros(len(starts), bool)
-            alone[np.unique(name, return_index=True)[1]] = True
-            keep = np.repeat((sizes > 1) & alone, sizes)
-            runs, docs = np.repeat(name, sizes)[keep], docs[keep]
-        else:
-            docs = np.zeros(0, np.int64)
-        return pa.table({"run": pa.array(runs.view(np.int64), pa.int64()), "id": pa.array(docs, pa.int64())})
-
-    blocks = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "keys").mapInArrow(deal, "bucket int, keys binary, docs binary, sets binary, counts binary")
-    return blocks.groupBy("bucket").applyInArrow(meet, "run long, id long").distinct()
+            short = np.frombuffer(short.as_buffer(), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(short), 8), np.uint8)
+            wide[:, :5] = short
+            counts = np.frombuffer(counts.as_buffer(), np.uint8 if len(counts.as_buffer()) == len(own) else np.uint32)
+            keys.append(wide.reshape(-1).view(np.uint64))
+            which.append(np.repeat(own, counts))
+        runs, ids = in_common(np.concatenate(keys), np.concatenate(which)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = pa.nulls(len(runs), pa.int64())
+        links = pa.table({"run": pa.array(runs), "id": pa.array(ids), "doc_id": none, "n": none})
+        if not sets:
+            return links
+        own = pa.array(np.concatenate(sets))
+        return pa.concat_tables([links, pa.table({"run": pa.nulls(len(own), pa.int64()), "id": own, "doc_id": pa.concat_arrays(names), "n": pa.concat_arrays(sizes)})])
+
+    return packs.groupBy("bucket").applyInArrow(meet, "run long, id long, doc_id long, n long")
+
+
+def in_common(keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, set) of the sets that share a key; runs of the same sets are one, whatever their keys."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    same = np.concatenate([s[1:] == s[:-1], [False]])
+    keep = order[same | np.concatenate([[False], same[:-1]])]
+    keys, which = keys[keep], which[keep]
+    order = np.lexsort((which, keys))
+    keys, which = keys[order], which[order]
+    if not len(keys):
+        return np.zeros(0, np.int64), which
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])])
+    keys, which = keys[first], which[first]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff([*starts, len(keys)])
+    name = np.add.reduceat(mix(which.view(np.uint64) + np.uint64(1)), starts) ^ sizes.astype(np.uint64)
+    alone = np.zeros(len(starts), bool)
+    alone[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat((sizes > 1) & alone, sizes)
+    return np.repeat(name, sizes)[keep].view(np.int64), which[keep]
 
 
 class Filter:
-    """A bitmap of hashed ids, of a fixed size."""
+    """A bitmap of hashed ids, sixteen bits for each, within a fixed bound."""
+
+    def __init__(self, ids: DataFrame) -> None:
+        count = ids.count()
+        self.bits = min(FILTER_BITS, 1 << max(12, int(np.ceil(np.log2(16 * max(count, 1))))))
+        words = ids.select(self.place(F.col(ids.columns[0])).alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()
+        flags = np.zeros(self.bits // 32, np.uint32)
+        flags[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+        self.words = ids.sparkSession.sparkContext.broadcast(flags)
+
+    def place(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.bits))
+
+    @staticmethod
+    def hits(words: np.ndarray, places: pa.Array) -> np.ndarray:
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
-    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS) -> None:
-        at = F.pmod(F.xxhash64("id"), F.lit(bits))
-        words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()
-        self.bits, self.words = bits, np.zeros(bits // 32, np.uint32)
-        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
 
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, signs: bool) -> DataFrame:
+    """(id, n, data): of each wanted set (id, doc_id: a document that has it) the hashes, or their signature.
 
-def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members (id) with the hashes of their sets. Texts aren't dealt: a filter of a fixed size drops nearly all others where they are read."""
-    spark, keep = docs.sparkSession, Filter(members.select("id"))
-    shared = spark.sparkContext.broadcast(keep.words)
+    Texts aren't dealt: a filter of a bounded size drops nearly all others where they are read.
+    """
+    keep = Filter(wanted.select("doc_id"))
+    shared, hits = keep.words, Filter.hits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            has = (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-            some = batch.filter(pa.array(has))
-            if some.num_rows:
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in some.column(1)], pa.binary())], names=["id", "hashes"])
+            some = batch.filter(pa.array(hits(words, batch.column(2))))
+            for k in range(0, some.num_rows, 512):
+                part = some.slice(k, 512)
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                data = [(signature(s, bits_for(len(s))) if signs else s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "id", "n", "data"])
 
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.withColumn("_at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    found = source.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
-    return members.join(found, "id")
+    found = source.withColumn("_at", keep.place(F.col("doc_id"))).mapInArrow(run, "doc_id long, id long, n long, data binary")
+    return wanted.join(found.dropDuplicates(["id", "doc_id"]), ["id", "doc_id"]).select("id", "n", "data")
 
 
 class Tree:
@@ -287,6 +293,20 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
     return traverse(tree(left), None if right is None else tree(right), num, den, verified)
 
 
+def stars(ids: list[int], links: list[tuple[int, int]]) -> pa.Table:
+    """(u, v): each linked id with the least one that its links lead to."""
+    union = Union(len(ids))
+    for a, b in links:
+        union.join(a, b)
+    least: dict[int, int] = {}
+    seen = {k for pair in links for k in pair}
+    for k in seen:
+        root = union.find(k)
+        least[root] = min(least.get(root, ids[k]), ids[k])
+    rows = [(ids[k], least[union.find(k)]) for k in seen if ids[k] != least[union.find(k)]]
+    return pa.table({"u": pa.array([u for u, _ in rows], pa.int64()), "v": pa.array([v for _, v in rows], pa.int64())})
+
+
 def traverse(a: Tree, right: Tree | None, num: int, den: int, verified: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) of the trees (None: the first with itself) that pass the bounds, and `verified` if given; pairs that earlier ones join already are passed over."""
     b = a if right is None else right
@@ -345,39 +365,52 @@ def traverse(a: Tree, right: Tree | None, num: int, den: int, verified: Callable
     return links
 
 
-def sifted(runs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links whose components hold every linked pair of a run: what the signatures of its sets leave possible."""
+def places(runs: DataFrame) -> DataFrame:
+    """(place, id): where the signatures of sets meet, so that those of a run do, each set as seldom as may be.
 
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in arrays], pa.int32()), pa.array([signature(x, bits_for(len(x))).tobytes() for x in arrays], pa.binary())], names=["id", "n", "sign"])
+    The runs of near copies are many and overlap: each run goes to the least set that any of its members has as
+    least of a run. A place with more than PLACE sets is left to its runs, one by one.
+    """
+    led = runs.join(runs.groupBy("run").agg(F.min("id").alias("least")), "run")
+    leaders = led.groupBy("id").agg(F.min("least").alias("leader"))
+    at = runs.join(leaders, "id").groupBy("run").agg(F.min("leader").alias("place"))
+    each = materialize(runs.join(at, "run"))
+    sizes = each.select("place", "id").distinct().groupBy("place").agg(F.count("*").alias("sets"))
+    own = F.when(F.col("sets") > PLACE, F.xxhash64("run", F.lit(1))).otherwise(F.col("place"))
+    out = materialize(each.join(sizes, "place").withColumn("place", own).select("place", "id").distinct())
+    discard(each)
+    return out
+
+
+def sifted(runs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links whose components hold every linked pair of a run: what the signatures (id, n, data) of its sets leave possible."""
 
     def sift(t: pa.Table) -> pa.Table:
         ids, n = t.column("id").to_pylist(), t.column("n").to_numpy().astype(np.int64)
-        # Sets of a run are of two neighbouring classes of size: their bitmaps are nearly as wide, and folded to the narrowest.
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sign")]
+        # Sets that meet are of neighbouring classes of size: their bitmaps are nearly as wide, and folded to the narrowest.
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("data")]
         bits = 64 * min(map(len, own))
-        found = traverse(Tree(n, np.stack([narrowed(x, bits) for x in own])), None, num, den)
-        return pa.table({"u": pa.array([ids[a] for a, _ in found], pa.int64()), "v": pa.array([ids[b] for _, b in found], pa.int64())})
+        return stars(ids, traverse(Tree(n, np.stack([narrowed(x, bits) for x in own])), None, num, den))
 
-    sizes = runs.groupBy("run").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    sized = materialize(runs.join(sizes, "run"))
-    small = sized.where(F.col("size") <= RUN).select("run", "id").join(sets.select("id", "hashes").mapInArrow(signs, "id long, n int, sign binary"), "id")
-    links = small.groupBy("run").applyInArrow(sift, "u long, v long")
-    return links.unionAll(sized.where((F.col("size") > RUN) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v"))).distinct()
+    at = places(runs)
+    sizes = at.groupBy("place").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    sized = at.join(sizes, "place")
+    small = sized.where(F.col("size") <= RUN).select("place", "id").join(signs, "id")
+    links = small.groupBy("place").applyInArrow(sift, "u long, v long")
+    out = materialize(links.unionAll(sized.where((F.col("size") > RUN) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v"))).distinct())
+    discard(at)
+    return out
 
 
 def resolve(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): enough links within the groups of members (id, root, hashes) for their components."""
+    """(node, root): the sets of members (id, root, hashes) that are linked within their groups, with the least set they lead to. A table in the shared folder."""
 
     def arrays(t: pa.Table) -> tuple[list[int], list[np.ndarray]]:
         return t.column("id").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
 
     def within(t: pa.Table) -> pa.Table:
         ids, sets = arrays(t)
-        found = tree_join(sets, None, num, den)
-        return pa.table({"u": pa.array([ids[a] for a, _ in found], pa.int64()), "v": pa.array([ids[b] for _, b in found], pa.int64())})
+        return stars(ids, tree_join(sets, None, num, den))
 
     def across(t: pa.Table) -> pa.Table:
         """Rows of side 0 against rows of side 1."""
@@ -388,28 +421,58 @@ def resolve(members: DataFrame, num: int, den: int) -> DataFrame:
         found = [(ids[p[a]], ids[q[b]]) for a, b in found if ids[p[a]] != ids[q[b]]]
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = materialize(members.groupBy("root").agg(F.count("*").alias("size")))
     sized = members.join(sizes, "root")
-    links = sized.where(F.col("size") <= BLOCK).groupBy("root").applyInArrow(within, "u long, v long")
-    large = materialize(sized.where(F.col("size") > BLOCK))
-    if large.isEmpty():
+    # A group in one task: its components are known there.
+    links = materialize(sized.where(F.col("size") <= BLOCK).groupBy("root").applyInArrow(within, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root")))
+    if sizes.where(F.col("size") > BLOCK).isEmpty():
+        discard(sizes)
         return links
     # Groups beyond a task: blocks join within, each with a few sets of the whole group among its own, which join the blocks.
-    large = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = sized.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = materialize(large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     hubs = large.where(F.pmod(F.xxhash64("id", F.lit(5)), F.col("size")) < 8)
     in_all = hubs.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").drop("own")
     inner = materialize(large.unionByName(in_all).select("root", "block", "id", "hashes").groupBy("root", "block").applyInArrow(within, "u long, v long"))
-    joined = materialize(components(inner).withColumnRenamed("root", "part").withColumnRenamed("node", "id"))
-    parts = large.join(joined, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    counts = parts.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("largest"))
-    # Two sets of the largest component are joined already; every other set meets all blocks.
-    outside = materialize(parts.join(counts, "root").where("part <> largest").select("root", "blocks", "block", "id", "hashes"))
-    each = outside.withColumnRenamed("block", "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "chunk", "block", "id", "hashes", F.lit(0).alias("side"))
-    chunks = outside.select("root", F.col("block").alias("chunk")).distinct()
+    found = components(inner)
+    parts = materialize(large.select("root", "id").join(found.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id")))
+    # Two sets of the largest component are joined already; every other set meets all blocks, in chunks of as many as a block has.
+    largest = parts.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+    apart = parts.join(largest, "root").where("part <> largest").select("id", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("others") / BLOCK)).cast("int").alias("chunk"))
+    outside = materialize(large.join(apart, "id").select("root", "blocks", "chunk", "id", "hashes"))
+    each = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "chunk", "block", "id", "hashes", F.lit(0).alias("side"))
+    chunks = outside.select("root", "chunk").distinct()
     inside = large.join(chunks, "root").select("root", "chunk", "block", "id", "hashes", F.lit(1).alias("side"))
     outer = each.unionAll(inside).groupBy("root", "chunk", "block").applyInArrow(across, "u long, v long")
-    return links.unionAll(inner).unionAll(outer)
+    whole = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(outer))
+    out = materialize(links.unionAll(whole))
+    discard(sizes, links, large, inner, found, parts, outside, whole)
+    return out
+
+
+def classes_of_sets(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(narrow, classes): (doc_id, id, n) of every row, and (id, class) of every set with shingles and a doc_id. Tables in the shared folder."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = materialize(met(dealt(docs, width, num, den, buckets)))
+    narrow = both.where("run IS NULL").select("doc_id", "id", "n")
+    runs = materialize(both.where("run IS NOT NULL").select("run", "id").distinct())
+    holders = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    wanted = materialize(runs.select("id").distinct().join(holders, "id"))
+    signs = materialize(sets_of(docs, wanted, width, signs=True))
+    links = sifted(runs, signs, num, den)
+    discard(runs, signs)
+    groups = components(links)
+    members = wanted.join(groups.select(F.col("node").alias("id"), "root"), "id")
+    found = sets_of(docs, members.select("id", "doc_id"), width, signs=False)
+    full = materialize(found.join(groups.select(F.col("node").alias("id"), "root"), "id").select("id", "root", F.col("data").alias("hashes")))
+    discard(wanted, links, groups)
+    roots = resolve(full, num, den)
+    discard(full)
+    joined = holders.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classes = materialize(joined.select("id", F.coalesce("root", "id").alias("class")))
+    discard(roots)
+    narrow.scratch = both.scratch
+    return narrow, classes
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -417,32 +480,60 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     Words are what ASCII white space parts, A-Z lower-cased. Two documents link if den * common >= num * union of their sets of
     different shingles of `width` words; a text with fewer words is one shingle; one without words, or null, has none and links with nothing.
-    component_id: the smallest doc_id reachable. Rows of one doc_id are one document. Null doc_ids link with nothing, their component is null.
+    component_id: the smallest doc_id reachable. Rows that repeat a doc_id are documents of their own, linked by their texts. Null
+    doc_ids link with nothing, their component is null. Sets and shingles are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    sets = materialize(set_table(docs, width, num, den))
-    narrow = materialize(sets.select("doc_id", "n", "k1", "k2"))
-    copies = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = materialize(runs_of(sets, buckets))
-    discard(sets)
-    full = materialize(sets_of(docs, runs.select("id").distinct(), width))
-    groups = components(sifted(runs, full, num, den)).select(F.col("node").alias("id"), "root")
-    links = materialize(resolve(full.join(groups, "id"), num, den))
-    discard(runs, full)
-    roots = components(links).withColumnRenamed("node", "rep")
-    classes = copies.join(roots, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
-    joined = narrow.join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    narrow, classes = classes_of_sets(docs, width, num, den)
+    linked_rows = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    least = linked_rows.join(classes, "id").groupBy("class").agg(F.min("doc_id").alias("component"))
+    named = materialize(classes.join(least, "class").select("id", "component"))
+    joined = narrow.join(named, "id", "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each class, the smallest doc_id, all columns kept. Null doc_ids stay; of rows with one doc_id one stays."""
-    classes = materialize(similarity_classes(docs, width, num, den))
-    keep = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    rows, ids = classes.where("doc_id IS NOT NULL").count(), classes.select("doc_id").where("doc_id IS NOT NULL").distinct().count()
-    known = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if rows != ids:
-        known = known.dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """docs with one row of each class: that of the smallest doc_id (ties: the least hash of the set), all columns kept.
+
+    Rows with a null doc_id, and rows without words, link with nothing and stay. Of rows that repeat a doc_id and its set one stays; rows
+    of one doc_id with other texts are documents of their own. Only texts of doc_ids with a row to be removed, and a few
+    that a bounded filter takes for such, are dealt.
+    """
+    narrow, classes = classes_of_sets(docs, width, num, den)
+    rows = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "id").agg(F.count("*").alias("times"))
+    classed = materialize(rows.join(classes, "id"))
+    chosen = classed.groupBy("class").agg(F.min(F.struct("doc_id", "id")).alias("m")).select("m.doc_id", "m.id").withColumn("chosen", F.lit(True))
+    judged = materialize(classed.join(chosen, ["doc_id", "id"], "left").select("doc_id", "id", "times", F.coalesce("chosen", F.lit(False)).alias("chosen")))
+    discard(narrow, classes, classed)
+    affected = judged.where("NOT chosen OR times > 1").select("doc_id").distinct()
+    keep = Filter(affected)
+    shared, hits, schema = keep.words, Filter.hits, docs.schema
+    names = schema.fieldNames()
+    extra, mark = unused("_set", names), unused("_place", names)
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = hits(shared.value, batch.column(batch.num_columns - 1))
+            yield batch.filter(pa.array(~bad)).select(names)
+
+    at = names.index("text")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(hits(shared.value, batch.column(batch.num_columns - 1)))).select(names)
+            for k in range(0, some.num_rows, 512):
+                part = some.slice(k, 512)
+                sets = [shingles(None if t is None else str(t), width) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=[*names, extra])
+
+    from pyspark.sql import types as T
+
+    placed = docs.withColumn(mark, F.coalesce(keep.place(F.col("doc_id").cast("long")), F.lit(0)))
+    free = placed.mapInArrow(pass_by, schema)
+    # A null doc_id has no place of its own; its rows stay, whichever branch they take.
+    looked = placed.mapInArrow(look, T.StructType([*schema.fields, T.StructField(extra, T.LongType())]))
+    stay = looked.where(F.col("doc_id").isNull() | F.col(extra).isNull()).select(names)
+    ids = judged.where("chosen").select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"))
+    named = looked.where(F.col("doc_id").isNotNull() & F.col(extra).isNotNull()).dropDuplicates(["doc_id", extra])
+    one = named.join(ids, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col(extra) == F.col("_i")), "left_semi").select(names)
+    return free.unionAll(stay).unionAll(one)
