@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def glob_to_regex(pattern: str) -> str:
-    """A whole-string regular expression of a glob: `*` crosses `/`, `?` is any character, `[...]` and `[!...]` are classes."""
+    """A whole-string regular expression of a glob: `*` crosses `/`, `?` is any character, `[...]` and `[!...]` are classes of characters and ranges."""
     out, k = [], 0
     while k < len(pattern):
         c = pattern[k]
@@ -19,14 +19,30 @@ def glob_to_regex(pattern: str) -> str:
             out.append(".*")
         elif c == "?":
             out.append(".")
-        elif c == "[" and (end := pattern.find("]", k + 2)) > 0:
-            body = pattern[k + 1 : end].replace("\\", r"\\")
-            out.append("[^" + body[1:] + "]" if body[0] == "!" else "[" + body + "]")
+        elif c == "[" and (end := pattern.find("]", k + (3 if pattern[k + 1 : k + 2] == "!" else 2))) > 0:
+            body = pattern[k + 1 : end]
+            negated, body = body[0] == "!", body[1:] if body[0] == "!" else body
+            out.append(("[^" if negated else "[") + class_body(body) + "]")
             k = end
         else:
             out.append(re.escape(c))
         k += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+def class_body(body: str) -> str:
+    """The inside of a class: a `-` between two characters is a range; all that a regular expression would read otherwise is escaped."""
+    out, k = [], 0
+    plain = lambda c: c if c.isalnum() or c in " _/.," else "\\" + c
+    while k < len(body):
+        if k + 2 < len(body) and body[k + 1] == "-":
+            if body[k] <= body[k + 2]:
+                out.append(f"{plain(body[k])}-{plain(body[k + 2])}")
+            k += 3
+        else:
+            out.append(plain(body[k]))
+            k += 1
+    return "".join(out) or "&&[^\\s\\S]"
 
 
 def glob_match(column: Column, pattern: str) -> Column:
@@ -76,7 +92,19 @@ def ignored(path: Column, rules: list[str]) -> Column:
             whole = glob_to_regex(rule)
             hit = hit | F.exists(F.split(path, "/"), _matching(whole))
         verdict = F.when(hit, F.lit(not keep)).otherwise(verdict)
-    return verdict | (path == ".control") | path.startswith(".control/")
+    return verdict | F.exists(F.split(path, "/"), lambda x: x == ".control")
+
+
+def normalised(path: Column, cwd: str = "") -> Column:
+    """A path as given in a folder of the repository (cwd, from its root), from the root and with `.`, `..` and empty components gone; null if it leads
+    outside. A path that starts with `/` is one from the root."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{cwd.strip('/')}/" if cwd.strip("/") else ""), path))
+    step = lambda state, c: F.when((c == "") | (c == "."), state).when(c != "..", F.struct(F.concat(state["at"], F.array(c)).alias("at"), state["out"].alias("out"))).otherwise(
+        F.struct(F.slice(state["at"], F.lit(1), F.greatest(F.size(state["at"]) - 1, F.lit(0))).alias("at"), (state["out"] | (F.size(state["at"]) == 0)).alias("out"))
+    )
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("out"))
+    end = F.aggregate(F.split(F.regexp_replace(whole, "\\\\", "/"), "/"), start, step)
+    return F.when(~end["out"], F.array_join(end["at"], "/"))
 
 
 def valid_ref_name(name: Column, longest: int = 4096) -> Column:
@@ -93,9 +121,14 @@ def protected(branch: Column, patterns: list[str]) -> Column:
     return out
 
 
-def handler_allowed(handler: Column, allowed: list[str], builtin: list[str]) -> Column:
-    """A policy of handlers: an empty list allows all; `builtin` stands for those that come with the engine."""
+#: Handlers that only choose a side; they come with the engine.
+FLOW = ["ours-only", "theirs-only", "agree", "deleted-both"]
+
+
+def handler_allowed(handler: Column, allowed: list[str], builtin: list[str], digest: Column | None = None) -> Column:
+    """A policy of handlers: an empty list allows all; `builtin` stands for those that come with the engine; `name:hash` allows one whose digest is that."""
     if not allowed:
         return F.lit(True)
-    names = [x for x in allowed if x != "builtin"] + (builtin if "builtin" in allowed else [])
-    return handler.isin(names)
+    names = [x for x in allowed if x != "builtin" and ":" not in x] + ([*builtin, *FLOW] if "builtin" in allowed else [])
+    pins = [x for x in allowed if ":" in x]
+    return handler.isin(names) | (F.concat_ws(":", handler, digest).isin(pins) if pins and digest is not None else F.lit(False))

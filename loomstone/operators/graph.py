@@ -1,169 +1,341 @@
-"""Queries over a commit graph: edges are (commit_id, ordinal, parent_id)."""
+"""Queries over graphs of commits and objects: edges are (src, dst), or (commit_id, ordinal, parent_id) for commits.
+
+Searches run in blocks: the edges are cut into blocks of bounded size, each block is searched to its end in one task, and what
+leads to other blocks is handed over in rounds. Blocks follow `parts` (the repository of a node, say) where they are given, so a graph whose
+parts hang together little needs few rounds. All state lies in the shared folder; a round's plan doesn't grow with the rounds before it.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Edges up to which a closure is found in one task by breadth-first search; beyond, level by level over the cluster.
-ONE_TASK_EDGES = 2_000_000
+#: Edges that one task searches.
+BLOCK_EDGES = 1_000_000
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that a loop's plan stays short and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def _folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/loomstone/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/loomstone/{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that a loop's plan stays short and survives lost executors."""
+    path = _folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def closure(edges: DataFrame, roots: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """(root, id): everything reachable from each root over edges (src, dst), the root itself too. roots: (root).
+def _dropped(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that _written() returned."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
-    Bounded graphs are searched in one task, all others by a loop over frontiers; results are the same.
-    """
-    if edges.limit(one_task_edges + 1).count() <= one_task_edges:
-        return closure_in_task(edges, roots)
-    return closure_by_level(edges, roots)
+
+def blocks(edges: DataFrame, parts: DataFrame | None, block_edges: int) -> DataFrame:
+    """edges (src, dst) with `block`: all edges of a node are in one block, and those of a part (parts: id, part) in as few as their number allows."""
+    if parts is None:
+        named = edges.withColumn("part", F.lit(0).cast("long"))
+    else:
+        named = edges.join(parts.select(F.col("id").alias("src"), F.col("part").cast("long").alias("part")).dropDuplicates(["src"]), "src", "left")
+    sizes = named.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block_edges)).cast("long").alias("cuts")).withColumnRenamed("part", "_part")
+    cut = named.join(sizes, F.col("part").eqNullSafe(F.col("_part")))
+    return cut.select("src", "dst", F.xxhash64("part", F.pmod(F.xxhash64("src"), F.col("cuts"))).alias("block"))
 
 
-def closure_in_task(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    def search(e: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, parts: DataFrame | None = None, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(root, id, depth): everything reachable from each root (root) over edges (src, dst), the root itself too, in a table of the shared folder.
+
+    depth: steps of the path that led there first; the only one where nodes have one edge at most. Cycles end where they close.
+    """
+    kind = edges.schema["src"].dataType
+    cut = _written(blocks(edges.select("src", F.col("dst").cast(kind).alias("dst")).where("dst IS NOT NULL").distinct(), parts, block_edges))
+    home = cut.select(F.col("src").alias("id"), F.col("block").alias("home")).distinct()
+    found = T.StructType([T.StructField("root", kind), T.StructField("id", kind), T.StructField("depth", T.LongType()), T.StructField("open", T.BooleanType())])
+
+    def search(at: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if at.empty:
+            return pd.DataFrame({"root": at["id"], "id": at["id"], "depth": 0, "open": False}).iloc[:0]
         after: dict = {}
-        for a, b in zip(e["src"], e["dst"]):
+        for a, b in zip(own["src"].tolist(), own["dst"].tolist()):
             after.setdefault(a, []).append(b)
-        out = []
-        for root in sorted(set(r["root"])):
-            seen, todo = {root}, [root]
+        out, starts = [], {}
+        for root, x, depth in zip(at["root"].tolist(), at["id"].tolist(), at["depth"].tolist()):
+            starts.setdefault(root, []).append((x, depth))
+        for root, here in starts.items():
+            seen, todo = {x for x, _ in here}, deque(sorted(here, key=lambda p: p[1]))
             while todo:
-                for b in after.get(todo.pop(), ()):
+                x, depth = todo.popleft()
+                for b in after.get(x, ()):
                     if b not in seen:
                         seen.add(b)
-                        todo.append(b)
-            out += [(root, x) for x in seen]
-        return pd.DataFrame(out, columns=["root", "id"])
+                        todo.append((b, depth + 1))
+                        out.append((root, b, depth + 1, b not in after))
+        return pd.DataFrame(out, columns=["root", "id", "depth", "open"])
+
+    path = _folder(edges.sparkSession)
+    seen = edges.sparkSession.read.schema(T.StructType(found.fields[:3])).parquet
+    first = roots.select(F.col("root").cast(kind).alias("root")).distinct().select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth"))
+    first.write.parquet(path)
+    frontier = None
+    while True:
+        at = (seen(path) if frontier is None else frontier.where("open")).select("root", "id", "depth").join(home, "id")
+        step = at.groupBy("home").cogroup(cut.groupBy("block")).applyInPandas(search, found)
+        # A node that its own block has searched needs no other task to do so.
+        step = step.groupBy("root", "id").agg(F.min("depth").alias("depth"), F.min("open").alias("open"))
+        new = _written(step.join(seen(path).select("root", "id"), ["root", "id"], "left_anti"))
+        if frontier is not None:
+            _dropped(frontier)
+        frontier = new
+        if new.isEmpty():
+            break
+        new.select("root", "id", "depth").write.mode("append").parquet(path)
+        if new.where("open").join(home, "id", "left_semi").isEmpty():
+            break
+    _dropped(frontier, cut)
+    out = seen(path)
+    out.scratch = path
+    return out
+
+
+def commit_edges(parents: DataFrame) -> DataFrame:
+    return parents.select(F.col("commit_id").alias("src"), F.col("parent_id").alias("dst"))
+
+
+def ancestors(parents: DataFrame, tips: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(root, id): each tip's ancestors and itself."""
+    return closure(commit_edges(parents), tips, parts).select("root", "id")
 
-    one = F.lit(0).alias("g")
-    left = edges.select(one, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("g")
-    return left.cogroup(roots.select(one, F.col("root").cast("long").alias("root")).groupBy("g")).applyInPandas(lambda a, b: search(a, b), "root long, id long")
 
+def reached(edges: DataFrame, roots: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id): what any of the roots (root) reaches, themselves too: one search for all."""
+    kind = edges.schema["src"].dataType
+    cut = _written(blocks(edges.select("src", F.col("dst").cast(kind).alias("dst")).where("dst IS NOT NULL").distinct(), parts, BLOCK_EDGES))
+    home = cut.select(F.col("src").alias("id"), F.col("block").alias("home")).distinct()
+    found = T.StructType([T.StructField("id", kind), T.StructField("open", T.BooleanType())])
 
-def closure_by_level(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    seen = _written(roots.select("root", F.col("root").alias("id")).distinct())
-    frontier = seen
+    def search(at: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in zip(own["src"].tolist(), own["dst"].tolist()) if len(at) else ():
+            after.setdefault(a, []).append(b)
+        seen, todo, out = set(at["id"].tolist()), at["id"].tolist(), []
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+                    out.append((b, b not in after))
+        return pd.DataFrame(out, columns=["id", "open"]) if out else pd.DataFrame({"id": at["id"].iloc[:0], "open": pd.Series([], dtype=bool)})
+
+    path = _folder(edges.sparkSession)
+    seen = edges.sparkSession.read.schema(T.StructType(found.fields[:1])).parquet
+    roots.select(F.col("root").cast(kind).alias("id")).distinct().write.parquet(path)
+    frontier = None
     while True:
-        step = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
-        frontier = _written(step.join(seen, ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionAll(frontier)
+        at = (seen(path) if frontier is None else frontier.where("open")).select("id").join(home, "id")
+        step = at.groupBy("home").cogroup(cut.groupBy("block")).applyInPandas(search, found)
+        new = _written(step.groupBy("id").agg(F.min("open").alias("open")).join(seen(path), "id", "left_anti"))
+        if frontier is not None:
+            _dropped(frontier)
+        frontier = new
+        if new.isEmpty():
+            break
+        new.select("id").write.mode("append").parquet(path)
+        if new.where("open").join(home, "id", "left_semi").isEmpty():
+            break
+    _dropped(frontier, cut)
+    out = seen(path)
+    out.scratch = path
+    return out
+
+
+def have_want(parents: DataFrame, have: DataFrame, want: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id): what want reaches and have doesn't."""
+    return difference(commit_edges(parents), have, want, parts)
 
 
-def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
-    """(root, id): each tip's ancestors and itself."""
-    return closure(parents.select(F.col("commit_id").alias("src"), F.col("parent_id").alias("dst")), tips)
+def difference(edges: DataFrame, have: DataFrame, want: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id): what the roots `want` reach over edges and the roots `have` don't: what a fetch, a push or a mirror's pass must carry."""
+    return reached(edges, want, parts).join(reached(edges, have, parts), "id", "left_anti")
 
 
-def have_want(parents: DataFrame, have: DataFrame, want: DataFrame) -> DataFrame:
-    """(id): what want reaches and have doesn't."""
-    reached = ancestors(parents, want).select("id").distinct()
-    return reached.join(ancestors(parents, have).select("id").distinct(), "id", "left_anti")
+def unreachable(ids: DataFrame, parents: DataFrame, refs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id): stored commits that no reference reaches."""
+    return unreferenced(ids, commit_edges(parents), refs.select(F.col("target").alias("root")), parts)
 
 
-def unreachable(ids: DataFrame, parents: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id): stored commits that no reference reaches."""
-    reached = ancestors(parents, refs.select(F.col("target").alias("root"))).select("id").distinct()
-    return ids.join(reached, "id", "left_anti")
+def unreferenced(ids: DataFrame, edges: DataFrame, roots: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id ...): the objects (id ...) that no root reaches over edges of any type."""
+    return ids.join(reached(edges, roots, parts), "id", "left_anti")
+
+
+#: What each type of object links to: link, and the type that it must have there.
+LINKS = {
+    ("commit", "tree"): "tree", ("commit", "authority"): "authority", ("commit", "parent"): "commit",
+    ("release", "tree"): "tree", ("release", "predecessor"): "commit", ("release", "authority"): "authority", ("release", "parent_release"): "release",
+    ("authority", "previous"): "authority", ("tree", "tree_entry"): "tree", ("tree", "blob_entry"): "blob",
+}
+
+
+def readable_edges(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst): links (src, link, dst) of objects (id, type, readable) that a typed walk follows: those that the object's type has; an unreadable object leads nowhere."""
+    kinds = F.array(*[F.concat(F.lit(f"{t}:"), F.lit(link)) for t, link in LINKS])
+    good = objects.where("readable").select(F.col("id").alias("src"), "type")
+    return links.join(good, "src").where(F.array_contains(kinds, F.concat_ws(":", "type", "link"))).select("src", "dst")
+
 
+def mistyped(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, link, dst, problem): links to what isn't stored (`missing`), can't be read (`unreadable`) or has another type (`type`)."""
+    wanted = F.create_map(*[x for (t, link), to in LINKS.items() for x in (F.lit(f"{t}:{link}"), F.lit(to))])
+    named = links.join(objects.select(F.col("id").alias("src"), F.col("type").alias("_from")), "src")
+    there = objects.select(F.col("id").alias("dst"), F.col("type").alias("_to"), "readable")
+    both = named.join(there, "dst", "left")
+    need = wanted[F.concat_ws(":", "_from", "link")]
+    problem = F.when(F.col("_to").isNull(), "missing").when(~F.col("readable"), "unreadable").when(~F.col("_to").eqNullSafe(need), "type")
+    return both.select("src", "link", "dst", problem.alias("problem")).where("problem IS NOT NULL")
 
-def chain(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(root, id, depth): from each start along links (src, dst), at most one from a node, to the end; roots: (root).
 
-    Bounded tables are followed in one task. Others by doubling: jumps of 1, 2, 4 ... links, so a chain of n takes log n joins.
+def walk_budget(found: DataFrame, budget: int) -> DataFrame:
+    """(objects, refused): the size of a walk, and whether it goes beyond its budget."""
+    return found.agg(F.count("*").alias("objects")).withColumn("refused", F.col("objects") > budget)
+
+
+def reaches(parents: DataFrame, pairs: DataFrame, commits: DataFrame | None = None, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(start, goal, reaches): if `goal` is an ancestor of `start`, or it; for each different pair (start, goal).
+
+    commits (id, part): pairs are searched where the part's edges are, and a search stops at its goal. What a block can't
+    decide goes on, pair by pair, in the blocks that its open nodes lead to.
     """
-    links = links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("dst IS NOT NULL")
-    starts = starts.select(F.col("root").cast("long").alias("root")).distinct()
-    if links.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
-
-        def follow(e: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            after, out = dict(zip(e["src"], e["dst"])), []
-            for root in r["root"]:
-                at, depth = root, 0
-                while at is not None:
-                    out.append((root, at, depth))
-                    at, depth = after.get(at), depth + 1
-            return pd.DataFrame(out, columns=["root", "id", "depth"])
-
-        one = F.lit(0).alias("g")
-        return links.select(one, "src", "dst").groupBy("g").cogroup(starts.select(one, "root").groupBy("g")).applyInPandas(lambda a, b: follow(a, b), "root long, id long, depth long")
-    seen = _written(starts.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("depth")))
-    jump, length = _written(links), 1
+    edges = commit_edges(parents)
+    kind = edges.schema["src"].dataType
+    cut = _written(blocks(edges.distinct(), commits, block_edges))
+    home = cut.select(F.col("src").alias("id"), F.col("block").alias("home")).distinct()
+    asked = _written(pairs.select(F.col("start").cast(kind).alias("start"), F.col("goal").cast(kind).alias("goal")).where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+    state = T.StructType([T.StructField(n, kind) for n in ("start", "goal", "id")] + [T.StructField("hit", T.BooleanType())])
+
+    def search(at: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in zip(own["src"].tolist(), own["dst"].tolist()) if len(at) else ():
+            after.setdefault(a, []).append(b)
+        starts: dict = {}
+        for start, goal, x in zip(at["start"].tolist(), at["goal"].tolist(), at["id"].tolist()):
+            starts.setdefault((start, goal), []).append(x)
+        out = []
+        for (start, goal), here in starts.items():
+            # Newest first: a goal is mostly a few steps away.
+            seen, todo, leave = set(here), deque(here), []
+            while todo:
+                x = todo.popleft()
+                if x == goal:
+                    out.append((start, goal, x, True))
+                    leave = []
+                    break
+                for b in after.get(x, ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+                        if b not in after:
+                            leave.append(b)
+            out += [(start, goal, b, False) for b in leave]
+        return pd.DataFrame(out, columns=["start", "goal", "id", "hit"]) if out else pd.DataFrame({n: at["id"].iloc[:0] for n in ("start", "goal", "id")} | {"hit": pd.Series([], dtype=bool)})
+
+    same = asked.where("start = goal").select("start", "goal")
+    seen = _written(asked.where("start <> goal").select("start", "goal", F.col("start").alias("id"), F.lit(False).alias("hit")))
+    frontier, rounds = seen, [seen]
     while True:
-        # Everything within `length` of the start is known: one jump of that length doubles it.
-        step = seen.join(jump, seen["id"] == jump["src"]).select("root", F.col("dst").alias("id"), (F.col("depth") + length).alias("depth"))
-        step = _written(step)
-        if step.isEmpty():
-            return seen
-        seen = _written(seen.unionAll(step))
-        far = jump.withColumnsRenamed({"src": "mid", "dst": "end"})
-        jump, length = _written(jump.join(far, jump["dst"] == far["mid"]).select("src", F.col("end").alias("dst"))), length * 2
+        done = _union(rounds).where("hit").select("start", "goal")
+        at = frontier.where("NOT hit").join(home, "id").join(done, ["start", "goal"], "left_anti")
+        step = at.groupBy("home").cogroup(cut.groupBy("block")).applyInPandas(search, state).distinct()
+        new = _written(step.join(_union(rounds).select("start", "goal", "id", "hit"), ["start", "goal", "id", "hit"], "left_anti"))
+        rounds.append(new)
+        frontier = new
+        if len(rounds) > 8:
+            rounds = [_written(_union(rounds))]
+        if new.where("NOT hit").join(home, "id", "left_semi").isEmpty():
+            break
+    hits = _written(_union(rounds).where("hit").select("start", "goal").unionAll(same).distinct().withColumn("hit", F.lit(True)))
+    out = asked.join(hits, ["start", "goal"], "left").select("start", "goal", F.coalesce("hit", F.lit(False)).alias("reaches"))
+    _dropped(cut)
+    return out
 
 
-def first_parent_log(parents: DataFrame, tip: int) -> DataFrame:
-    """(id, depth): a tip's line of first parents, newest first."""
-    start = parents.sparkSession.createDataFrame([(tip,)], "root long")
-    return chain(parents.where("ordinal = 0").select(F.col("commit_id").alias("src"), F.col("parent_id").alias("dst")), start).select("id", "depth")
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionAll(df)
+    return out
+
+
+def chain(links: DataFrame, starts: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(root, id, depth): from each start along links (src, dst), at most one from a node, to the end, or to where a cycle closes; roots: (root)."""
+    return closure(links, starts, parts)
+
+
+def first_parent_log(parents: DataFrame, tips: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(root, id, depth): each tip's (root) line of first parents, newest first."""
+    return chain(commit_edges(parents.where("ordinal = 0")), tips, parts)
 
 
 def log_since(line: DataFrame, contained: DataFrame) -> DataFrame:
-    """A first-parent log up to its first commit that `contained` (id) has."""
-    line = _written(line)
-    cut = line.join(contained.select("id").distinct(), "id", "left_semi").agg(F.min("depth").alias("cut"))
-    limit = cut.first()["cut"]
-    return line if limit is None else line.where(F.col("depth") < limit)
+    """First-parent logs (root, id, depth), each up to its first commit that `contained` (id) has."""
+    cut = line.join(contained.select("id").distinct(), "id", "left_semi").groupBy("root").agg(F.min("depth").alias("cut"))
+    return line.join(cut, "root", "left").where("cut IS NULL OR depth < cut").select("root", "id", "depth")
 
 
-def merge_base(parents: DataFrame, a: int, b: int) -> int | None:
-    """The first common commit in the order of a depth-first walk from b that takes the last parent first: not a lowest common ancestor.
+def merge_bases(parents: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(a, b, base): the first common commit in the order of a depth-first walk from b that takes the last parent first: not a lowest common ancestor.
 
-    The walk depends on its own order, so the ancestor sub-graph of the two commits is searched in one place, bounded by ONE_TASK_EDGES.
+    The walk depends on its own order, so each pair's ancestors meet in one task; pairs are dealt over the cluster. Null without a common commit.
     """
-    spark = parents.sparkSession
-    tips = spark.createDataFrame([(a,), (b,)], "root long")
-    near = ancestors(parents, tips).select("id").distinct()
-    rows = parents.join(near, parents["commit_id"] == near["id"], "left_semi").select("commit_id", "ordinal", "parent_id")
-    if rows.limit(ONE_TASK_EDGES + 1).count() > ONE_TASK_EDGES:
-        raise ValueError("the sub-graph is too large for an ordered walk")
-    up: dict[int, list[int]] = {}
-    for r in sorted(rows.toLocalIterator()):
-        up.setdefault(r["commit_id"], []).append(r["parent_id"])
-
-    def walk(start: int):
-        seen, todo = set(), [start]
+    kind = parents.schema["commit_id"].dataType
+    asked = pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).distinct()
+    tips = asked.select(F.col("a").alias("root")).unionAll(asked.select(F.col("b").alias("root"))).distinct()
+    near = ancestors(parents, tips, parts)
+    up = parents.select(F.col("commit_id").alias("id"), "ordinal", "parent_id")
+    sides = [asked.join(near, asked[s] == near["root"]).select("a", "b", "id", F.lit(s).alias("side")) for s in ("a", "b")]
+    rows = sides[0].unionAll(sides[1]).join(up, "id", "left")
+
+    def walk(t: pd.DataFrame) -> pd.DataFrame:
+        a, b = t["a"].iloc[0], t["b"].iloc[0]
+        of_a = set(t["id"][t["side"] == "a"])
+        above: dict = {}
+        own = t[(t["side"] == "b") & t["parent_id"].notna()].drop_duplicates(["id", "ordinal"]).sort_values(["id", "ordinal"])
+        for x, y in zip(own["id"], own["parent_id"]):
+            above.setdefault(x, []).append(y)
+        seen, todo = set(), [b]
         while todo:
             x = todo.pop()
+            if x in of_a:
+                return pd.DataFrame({"a": [a], "b": [b], "base": [x]})
             if x not in seen:
                 seen.add(x)
-                yield x
-                todo.extend(up.get(x, []))
+                todo.extend(above.get(x, []))
+        return pd.DataFrame({"a": [a], "b": [b], "base": [None]})
 
-    of_a = set(walk(a))
-    return next((x for x in walk(b) if x in of_a), None)
+    return rows.groupBy("a", "b").applyInPandas(walk, T.StructType([T.StructField(n, kind) for n in ("a", "b", "base")]))
 
 
 def release_chain(releases: DataFrame) -> DataFrame:
     """(repo, id, depth): back from each repository's newest release (ties: the last by id) along parent_release."""
     newest = releases.groupBy("repo").agg(F.max(F.struct("ts", "id")).alias("m")).select("repo", F.col("m.id").alias("root"))
-    line = chain(releases.select(F.col("id").alias("src"), F.col("parent_release").alias("dst")), newest)
+    line = chain(releases.select(F.col("id").alias("src"), F.col("parent_release").alias("dst")), newest, releases.select("id", F.col("repo").alias("part")))
     return newest.join(line, "root").select("repo", "id", "depth")
 
 
@@ -177,39 +349,59 @@ def hops(parents: DataFrame, tips: DataFrame, path: list[tuple[str, int]]) -> Da
     return at
 
 
-def topo_depth(parents: DataFrame, commits: DataFrame) -> DataFrame:
-    """(id, depth): the longest line to a commit without parents, so ordering by (depth, id) puts parents first.
+def topo_depth(parents: DataFrame, commits: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(id, depth): the longest line to a commit without parents, so ordering by (depth, id) puts parents first. Raises for a cycle.
 
-    Rounds relax all commits whose parents changed; the number of rounds is the depth of the graph.
+    commits: (id), and `part` where there is one. A block is done in one task, from what it knows of depths in other blocks; rounds go on until nothing changes.
     """
-    bounded = parents.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES
-
-    def in_task(c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    kind = parents.schema["commit_id"].dataType
+    parts = commits.select("id", "part") if "part" in commits.columns else None
+    cut = _written(blocks(commit_edges(parents).distinct(), parts, block_edges))
+    inner = cut.select(F.col("src").alias("id"), "block").distinct()
+    known = _written(commits.select("id").distinct().join(inner, "id", "left_anti").select("id", F.lit(0).cast("long").alias("depth")))
+    schema = T.StructType([T.StructField("id", kind), T.StructField("depth", T.LongType())])
+
+    def relax(own: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         up: dict = {}
-        for a, b in zip(p["commit_id"], p["parent_id"]):
+        for a, b in zip(own["src"].tolist(), own["dst"].tolist()):
             up.setdefault(a, []).append(b)
-        depth: dict = {}
-        for start in c["id"]:
-            todo = [start]
+        depth = dict(zip(outer["id"].tolist(), outer["depth"].tolist()))
+        found: dict = {}
+        for start in up:
+            todo, path = [start], set()
             while todo:
                 x = todo[-1]
-                wait = [y for y in up.get(x, []) if y not in depth]
+                if x in found:
+                    todo.pop()
+                    continue
+                wait = [y for y in up[x] if y in up and y not in found]
                 if wait:
+                    if x in path:
+                        raise ValueError("the commits form a cycle")
+                    path.add(x)
                     todo += wait
                 else:
-                    depth[todo.pop()] = 1 + max((depth[y] for y in up.get(x, [])), default=-1)
-        return pd.DataFrame({"id": c["id"], "depth": [depth[x] for x in c["id"]]})
+                    path.discard(todo.pop())
+                    found[x] = 1 + max((found[y] if y in up else depth.get(y, 0)) for y in up[x])
+        return pd.DataFrame({"id": list(found), "depth": list(found.values())})
 
-    if bounded:
-        one = F.lit(0).alias("g")
-        return commits.select(one, "id").groupBy("g").cogroup(parents.select(one, "commit_id", "parent_id").groupBy("g")).applyInPandas(lambda a, b: in_task(a, b), "id long, depth long")
-    depth = _written(commits.select("id", F.lit(0).cast("long").alias("depth")))
+    crossing = cut.join(inner.select(F.col("id").alias("dst"), F.col("block").alias("there")), "dst", "left").where("there IS NULL OR there <> block").select("block", F.col("dst").alias("id")).distinct()
+    crossing = _written(crossing)
+    now, rounds, most = None, 0, inner.count() + 1
     while True:
-        up = parents.join(depth, parents["parent_id"] == depth["id"]).groupBy("commit_id").agg((F.max("depth") + 1).alias("d"))
-        new = _written(depth.join(up, depth["id"] == up["commit_id"], "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("depth")))
-        if new.join(depth.withColumnRenamed("depth", "old"), "id").where("depth <> old").isEmpty():
-            return new
-        depth = new
+        outer = crossing.join(known if now is None else known.unionAll(now), "id")
+        new = _written(cut.groupBy("block").cogroup(outer.groupBy("block")).applyInPandas(relax, schema))
+        changed = True if now is None else not new.join(now.withColumnRenamed("depth", "old"), "id").where("depth <> old").isEmpty()
+        alone = now is None and crossing.join(inner, "id", "left_semi").isEmpty()
+        if now is not None:
+            _dropped(now)
+        now, rounds = new, rounds + 1
+        if not changed or alone:
+            break
+        if rounds > most:
+            raise ValueError("the commits form a cycle")
+    _dropped(cut, crossing)
+    return known.unionAll(now)
 
 
 def resolve_prefix(ids: DataFrame, prefix: str, shortest: int = 4, shown: int = 5) -> DataFrame:

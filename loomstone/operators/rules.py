@@ -58,28 +58,44 @@ def first_refusal(checks: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(k)) for k, c in sorted(checks, key=lambda x: order[x[0]])])
 
 
-def admit(updates: DataFrame, refs: DataFrame, members: DataFrame, ancestry: DataFrame, protected_patterns: list[str]) -> DataFrame:
-    """(txn, verdict): a verdict on each transaction of updates (txn, repo, signer, name, expected, new, force).
-
-    Shape, then stale expectations, then the signer's role, then rewrites: judged against the references as they are after
-    the whole transaction, so a commit that another updated reference still reaches isn't rewritten away. A rewrite must be
-    forced, and is denied on protected branches. ancestry: (root, id), what each new target reaches.
+def admit(updates: DataFrame, refs: DataFrame, repos: DataFrame, members: DataFrame, reach: DataFrame, exposed: DataFrame, protected_patterns: list[str]) -> DataFrame:
+    """(txn, verdict): the first refusal of each transaction in the order of PRECEDENCE, or `admitted`.
+
+    updates: (txn, repo, signer, name, expected, new, force); refs: (repo, name, target) before them, with `txn` where each transaction finds its own. Inputs about what lies behind:
+      repos    (repo, has_current, proved): if there is a current authority, and if its chain ends at the repository's genesis
+      reach    (start, goal, reaches): of each pair of a value that a reference has afterwards and one that an update gives up
+      exposed  (txn, missing, violations, boundaries, boundary_ok, forks, fork_ok): what the transaction would publish for the first time
+    Shape: a reference twice, a name that isn't a branch or release, a deletion that doesn't name what it holds. `unforced`: a rewrite
+    without force. `protected`: below a maintainer, on a protected branch, or with a forced rewrite. A rewrite is an update to what doesn't
+    descend from what was there, or a deletion of what no reference reaches after the whole transaction.
     """
-    now = refs.select("repo", "name", F.col("target").alias("current"))
-    u = updates.join(now, ["repo", "name"], "left")
-    double = updates.groupBy("txn", "name").agg(F.count("*").alias("times"))
+    own = [k for k in ("txn", "repo", "name") if k in refs.columns]
+    u = updates.join(refs.select(*own, F.col("target").alias("current")), own, "left")
+    times = updates.groupBy("txn", "name").agg(F.count("*").alias("times"))
     role = members.select("repo", F.col("member").alias("signer"), "role")
-    u = u.join(double, ["txn", "name"]).join(role, ["repo", "signer"], "left")
-    # What the transaction's own new targets reach, together.
-    after = updates.where("new IS NOT NULL").select("txn", F.col("new").alias("root")).join(ancestry, "root").select("txn", F.col("id").alias("current"), F.lit(True).alias("kept")).distinct()
-    u = u.join(after, ["txn", "current"], "left")
-    rewrite = F.col("current").isNotNull() & F.col("kept").isNull()
+    u = u.join(times, ["txn", "name"]).join(role, ["repo", "signer"], "left").join(repos, "repo", "left").join(exposed, "txn", "left")
+    yes = reach.where("reaches").select(F.col("start").alias("new"), F.col("goal").alias("expected"), F.lit(True).alias("forward"))
+    u = u.join(yes, ["new", "expected"], "left")
+    after = standing_after(updates, refs)
+    held = after.join(reach.where("reaches"), ["start", "goal"]).select("txn", F.col("goal").alias("expected"), F.lit(True).alias("held")).distinct()
+    u = u.join(held, ["txn", "expected"], "left")
+    published = F.col("name").startswith("refs/branches/") | F.col("name").startswith("refs/releases/")
+    branch = F.regexp_replace("name", "^refs/branches/", "")
+    old, new = F.col("expected"), F.col("new")
+    rewrite = old.isNotNull() & F.when(new.isNotNull(), (old != new) & F.col("forward").isNull()).otherwise(F.col("held").isNull())
+    below = F.coalesce(F.col("role"), F.lit(0)) < MAINTAINER
     kind = first_refusal([
-        ("shape", (F.col("times") > 1) | (F.col("new").isNull() & F.col("expected").isNull())),
-        ("stale", ~F.col("expected").eqNullSafe(F.col("current"))),
+        ("shape", (F.col("times") > 1) | (new.isNull() & old.isNull()) | ~published),
+        ("stale", ~old.eqNullSafe(F.col("current"))),
+        ("no-current", ~F.coalesce("has_current", F.lit(False))),
+        ("unproved", ~F.coalesce("proved", F.lit(False))),
         ("signer", F.coalesce(F.col("role"), F.lit(0)) < CONTRIBUTOR),
+        ("incomplete", F.coalesce("missing", F.lit(0)) > 0),
         ("unforced", rewrite & ~F.col("force")),
-        ("protected", rewrite & protected(F.col("name"), protected_patterns)),
+        ("protected", below & ((F.col("name").startswith("refs/branches/") & protected(branch, protected_patterns)) | (rewrite & F.col("force")))),
+        ("history", F.coalesce("violations", F.lit(0)) > 0),
+        ("boundary", (F.coalesce("boundaries", F.lit(0)) > 1) | ((F.coalesce("boundaries", F.lit(0)) == 1) & ~F.coalesce("boundary_ok", F.lit(False)))),
+        ("fork", (F.coalesce("forks", F.lit(0)) > 1) | ((F.coalesce("forks", F.lit(0)) == 1) & ~F.coalesce("fork_ok", F.lit(False)))),
     ])
     order = F.create_map(*[x for n, k in enumerate(PRECEDENCE) for x in (F.lit(k), F.lit(n))])
     judged = u.withColumn("kind", kind)
@@ -87,6 +103,28 @@ def admit(updates: DataFrame, refs: DataFrame, members: DataFrame, ancestry: Dat
     return first.select("txn", F.coalesce("kind", F.lit("admitted")).alias("verdict"))
 
 
+def standing_after(updates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(txn, start, goal): of each transaction that deletes, the values that references have after it, with each value that it gives up."""
+    own = [k for k in ("txn", "repo") if k in refs.columns]
+    gone = updates.where("new IS NULL AND expected IS NOT NULL").select("txn", "repo", F.col("expected").alias("goal")).distinct()
+    left = gone.join(refs, own).join(updates.select("txn", "name").distinct(), ["txn", "name"], "left_anti").select("txn", F.col("target").alias("start"), "goal")
+    sets = gone.join(updates.where("new IS NOT NULL").select("txn", F.col("new").alias("start")), "txn").select("txn", "start", "goal")
+    return left.unionAll(sets)
+
+
+def asked_of_reach(updates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(start, goal): the pairs whose ancestry admit() needs: an update's new value and the old one, and for a deletion every value that stands after it."""
+    moves = updates.where("new IS NOT NULL AND expected IS NOT NULL").select(F.col("new").alias("start"), F.col("expected").alias("goal"))
+    return moves.unionAll(standing_after(updates, refs).select("start", "goal")).distinct()
+
+
+def admitted_counts(verdicts: DataFrame, exposed: DataFrame) -> DataFrame:
+    """(commits, foreign_commits, releases): what admitted transactions publish, from exposed objects (txn, type, foreign)."""
+    good = exposed.join(verdicts.where("verdict = 'admitted'").select("txn"), "txn", "left_semi")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    return good.agg(count((F.col("type") == "commit") & ~F.col("foreign")).alias("commits"), count((F.col("type") == "commit") & F.col("foreign")).alias("foreign_commits"), count(F.col("type") == "release").alias("releases"))
+
+
 def readers(repos: DataFrame, members: DataFrame, principals: DataFrame) -> DataFrame:
     """(repo, principal, may_read): public repositories for everybody, private ones for members, those without a proved current authority for nobody.
 
@@ -105,6 +143,47 @@ def conflicting_lineage(authorities: DataFrame, ancestry: DataFrame, current: Da
     return authorities.select("id").join(on_chain.unionAll(after).distinct(), "id", "left_anti")
 
 
+def history_problems(commits: DataFrame, parents: DataFrame, members: DataFrame, line: DataFrame, pinned: DataFrame, releases: DataFrame) -> DataFrame:
+    """(object, integrity, rule): every violation in a repository's history; integrity: damage, which stops a collection, not only a broken rule.
+
+    commits: (id, repo, author, authority, installs, readable, sig_valid); releases: (id, repo, declarer, authority, predecessor); members: (id, member, role) by
+    authority; line: (root, id) chains of authorities; pinned: (repo, genesis). Rules: `unreadable` (damage) · `signature` · `genesis`: the
+    cited chain doesn't end at the pinned genesis · `signer`: not a member of the cited authority, or below Contributor (Owner to install another) ·
+    `successor`: installs what isn't the cited authority's direct successor · `monotone`: the cited authority is neither a parent's effective one nor after it ·
+    `root`: a root must cite the genesis · `release-signer`: below Maintainer · `release-authority`: neither the predecessor's effective one nor after it.
+    """
+    effective = commits.select(F.col("id").alias("parent_id"), F.coalesce("installs", "authority").alias("effective"))
+    after = line.select(F.col("root").alias("authority"), F.col("id").alias("effective"))
+    good = commits.where("readable")
+    role = members.select(F.col("id").alias("authority"), F.col("member").alias("author"), "role")
+    named = lambda df, key, rule, damage=False: df.select(F.col(key).cast("string").alias("object"), F.lit(damage).alias("integrity"), F.lit(rule).alias("rule"))
+    need = F.when(F.col("installs").isNotNull(), OWNER).otherwise(CONTRIBUTOR)
+    ends = line.select(F.col("root").alias("authority"), F.col("id").alias("genesis"))
+    at_pin = lambda df: df.join(pinned, "repo").join(ends, ["authority", "genesis"], "left_anti")
+    next_of = line.where("depth = 1").select(F.col("root").alias("installs"), F.col("id").alias("authority"))
+    cited = good.join(parents.select(F.col("commit_id").alias("id"), "parent_id"), "id").join(effective, "parent_id")
+    roots = good.join(parents.select(F.col("commit_id").alias("id")).distinct(), "id", "left_anti")
+    declared = releases.join(members.select(F.col("id").alias("authority"), F.col("member").alias("declarer"), "role"), ["authority", "declarer"], "left")
+    held = releases.join(effective.withColumnRenamed("parent_id", "predecessor"), "predecessor")
+    views = [
+        named(commits.where("NOT readable"), "id", "unreadable", True),
+        named(good.where("NOT sig_valid"), "id", "signature"),
+        named(at_pin(good), "id", "genesis"),
+        named(good.join(role, ["authority", "author"], "left").where(F.coalesce(F.col("role"), F.lit(0)) < need), "id", "signer"),
+        named(good.where("installs IS NOT NULL").join(next_of, ["installs", "authority"], "left_anti"), "id", "successor"),
+        named(cited.join(after, ["authority", "effective"], "left_anti").select("id").distinct(), "id", "monotone"),
+        named(roots.join(pinned, "repo").where("authority <> genesis"), "id", "root"),
+        named(declared.where(F.coalesce(F.col("role"), F.lit(0)) < MAINTAINER), "id", "release-signer"),
+        named(held.join(after, ["authority", "effective"], "left_anti"), "id", "release-authority"),
+    ]
+    return reduce(DataFrame.unionByName, views)
+
+
+def collectable(problems: DataFrame) -> DataFrame:
+    """(refused, damaged): a collection goes on only if nothing is damaged; broken rules don't stop it."""
+    return problems.agg(F.coalesce(F.max("integrity"), F.lit(False)).alias("refused"), F.coalesce(F.sum(F.col("integrity").cast("long")), F.lit(0)).alias("damaged"))
+
+
 def receive(violations: DataFrame, batches: DataFrame) -> DataFrame:
     """(batch, recorded): a batch of objects (batch, id) is recorded whole, or not at all if one of them is in violation."""
     bad = batches.join(violations.select("id").distinct(), "id", "left_semi").select("batch", F.lit(True).alias("bad")).distinct()
@@ -124,21 +203,46 @@ def policy_violations(records: DataFrame, allowed: list[str], builtin: list[str]
     return records.where(~handler_allowed(F.col("handler"), allowed, builtin)).select("path", "handler")
 
 
-#: What a projection does with an edge: keep, verify and leave out, leave out, or reject.
+#: What a projection does with an edge, fixed values: by kind of edge for the modes full, release and metadata.
 PROJECTION = {
-    ("full", "tree"): "retain", ("full", "parent"): "retain", ("full", "authority"): "retain", ("full", "entry"): "retain",
-    ("release", "tree"): "retain", ("release", "parent"): "verify-then-omit", ("release", "authority"): "retain", ("release", "entry"): "retain",
-    ("metadata", "tree"): "omit", ("metadata", "parent"): "retain", ("metadata", "authority"): "retain", ("metadata", "entry"): "omit",
-}
+    "native_authority": ("retain", "retain", "retain"),
+    "release_ref": ("retain", "retain", "retain"),
+    "release_envelope": ("retain", "retain", "retain"),
+    "parent_release": ("retain", "retain", "retain"),
+    "predecessor_other_tree": ("reject", "reject", "reject"),
+    "predecessor_same_tree": ("retain", "retain", "verify-then-omit"),
+    "release_tree_or_blob": ("retain", "retain", "verify-then-omit"),
+    "commit_parent": ("retain", "verify-then-omit", "verify-then-omit"),
+    "foreign_fork_closure": ("retain", "verify-then-omit", "verify-then-omit"),
+    "foreign_fork_boundary": ("retain", "retain", "retain"),
+    "transaction_evidence": ("retain", "retain", "retain"),
+    "branch_ref": ("retain", "omit", "omit"),
+}
+MODES = ["full", "release", "metadata"]
 
 
 def project_edges(edges: DataFrame, mode: str) -> DataFrame:
-    """(src, dst, kind, action): the decision of a projection for each edge; unknown kinds are rejected."""
-    action = F.lit("reject")
-    for (m, kind), what in PROJECTION.items():
-        if m == mode:
-            action = F.when(F.col("kind") == kind, F.lit(what)).otherwise(action)
-    return edges.select("src", "dst", "kind", action.alias("action"))
+    """edges (src, dst, kind) with `action`: the decision of a projection for each; unknown kinds are rejected."""
+    at = MODES.index(mode)
+    table = F.create_map(*[x for kind, row in PROJECTION.items() for x in (F.lit(kind), F.lit(row[at]))])
+    return edges.withColumn("action", F.coalesce(table[F.col("kind")], F.lit("reject")))
+
+
+def projection_closure(edges: DataFrame, roots: DataFrame, mode: str, parts: DataFrame | None = None) -> DataFrame:
+    """(id, member): what a projection from roots (root) retains, and the boundary that it verifies but leaves out (member false).
+
+    Retained edges are followed; edges to verify lead to a boundary object and no further. An edge to reject, from a retained object, raises.
+    """
+    from .graph import _written, reached
+
+    judged = _written(project_edges(edges, mode))
+    kept = reached(judged.where("action = 'retain'").select("src", "dst"), roots, parts)
+    refused = judged.where("action = 'reject'").join(kept.withColumnRenamed("id", "src"), "src", "left_semi")
+    if not refused.isEmpty():
+        raise ValueError("the projection rejects an edge of a retained object")
+    border = judged.where("action = 'verify-then-omit'").join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    border = border.join(kept, "id", "left_anti")
+    return kept.select("id", F.lit(True).alias("member")).unionAll(border.select("id", F.lit(False).alias("member")))
 
 
 def read_verdict(kind: Column, size: Column, wanted: str, most: int) -> Column:

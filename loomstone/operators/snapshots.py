@@ -95,21 +95,72 @@ def scoped_commit(head: DataFrame, worktree: DataFrame, in_scope: Column) -> Dat
     return worktree.where(in_scope).select("path", "hash", "exec").unionAll(head.where(~in_scope).select("path", "hash", "exec"))
 
 
-def tree_edges(files: DataFrame, depth: int) -> DataFrame:
+def uncommitted(head: DataFrame, index: DataFrame, worktree: DataFrame) -> DataFrame:
+    """(path, why): work that isn't committed: `staged` where the index differs from HEAD, else what the worktree has in place of HEAD's file."""
+    h, i, w = side(head, "h"), side(index, "i"), worktree.select("path", F.struct("hash", "exec").alias("w"), "kind")
+    all_ = h.join(i, "path", "full_outer").join(w, "path", "left")
+    why = F.when(~F.col("h").eqNullSafe(F.col("i")), "staged").otherwise(changed(F.col("h")))
+    return all_.select("path", why.alias("why")).where("why IS NOT NULL")
+
+
+def changed(held: Column) -> Column:
+    """What a working file (w, kind) is that isn't the one held: null if it is."""
+    return F.when(F.col("kind").isNull(), "missing").when(F.col("kind") == "symlink", "a link").when(F.col("kind") != "file", "not a file").when(~F.col("w").eqNullSafe(held), "modified")
+
+
+def would_lose(head: DataFrame, worktree: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, why): what writing paths (path, hash, exec), or removing them (hash null), would destroy: a link or folder there, or a file that is
+    neither HEAD's nor the one to be written. A missing file loses nothing."""
+    w = worktree.select("path", F.struct("hash", "exec").alias("w"), "kind")
+    all_ = paths.select("path", F.when(F.col("hash").isNotNull(), entry()).alias("t")).join(side(head, "h"), "path", "left").join(w, "path")
+    why = F.when(F.col("kind") == "symlink", "a link").when(F.col("kind") != "file", "not a file")
+    why = why.when(F.col("h").isNull() & ~F.coalesce(F.col("w").eqNullSafe(F.col("t")), F.lit(False)), "untracked").when(~F.col("w").eqNullSafe(F.col("h")) & ~F.col("w").eqNullSafe(F.col("t")), "modified")
+    return all_.select("path", why.alias("why")).where("why IS NOT NULL")
+
+
+def staged_only(head: DataFrame, index: DataFrame, worktree: DataFrame) -> DataFrame:
+    """(path, hash): versions that only the index holds: neither HEAD nor a working file has them."""
+    w = worktree.where("kind = 'file'").select("path", F.struct("hash", "exec").alias("w"))
+    all_ = side(index, "i").join(side(head, "h"), "path", "left").join(w, "path", "left")
+    return all_.where(~F.col("i").eqNullSafe(F.col("h")) & ~F.col("i").eqNullSafe(F.col("w"))).select("path", F.col("i.hash").alias("hash"))
+
+
+def scope_misses(scope: DataFrame, tracked: DataFrame) -> DataFrame:
+    """(scope): scopes at which nothing is tracked: an error, not an empty scope. A tracked path counts for itself and for every folder above it."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    held = tracked.select(F.explode(above).alias("scope")).distinct()
+    return scope.select("scope").distinct().where("scope NOT IN ('', '.')").join(held, "scope", "left_anti")
+
+
+def status_json(groups: DataFrame, branch: str) -> DataFrame:
+    """(report): one JSON document: schema_version, branch, clean, and the sorted paths of each group. Paths of a group meet in one row, as the report has them."""
+    each = groups.select(F.explode("groups").alias("grp"), "path").groupBy("grp").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    one = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "paths")))).alias("groups"))
+    return one.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(branch).alias("branch"), (F.size("groups") == 0).alias("clean"), "groups")).alias("report"))
+
+
+#: Longest path of a tree, in bytes; its entries are bounded too.
+LONGEST_PATH, MOST_ENTRIES = 4096, 1 << 20
+
+
+def tree_edges(files: DataFrame, depth: int | None = None) -> DataFrame:
     """(dir, name, kind, id, exec) of every tree of a snapshot, deepest first: each tree's id is the hash of its sorted entries.
 
-    depth: components of the longest path; one aggregation a level.
+    depth: components of the longest path, counted if not given; one aggregation a level.
     """
     level = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit("blob").alias("kind"), F.col("hash").alias("id"), "exec")
-    out, todo = level, level
     deepest = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    level = _written(level.withColumn("depth", deepest))
+    if depth is None:
+        depth = (level.agg(F.max("depth")).first()[0] or 0) + 1
+    out, up = level.drop("depth"), None
     # All entries of a folder meet only when those below are done: folders by depth, deepest first.
     for at in range(depth - 1, 0, -1):
-        here = todo.where(deepest == at)
-        trees = here.groupBy("dir").agg(tree_id().alias("id"))
-        up = trees.select(F.regexp_extract("dir", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("dir", "([^/]*)$", 1).alias("name"), F.lit("tree").alias("kind"), "id", F.lit(False).alias("exec"))
+        here = level.where(F.col("depth") == at).drop("depth")
+        trees = (here if up is None else here.unionAll(up)).groupBy("dir").agg(tree_id().alias("id"))
+        up = _written(trees.select(F.regexp_extract("dir", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("dir", "([^/]*)$", 1).alias("name"), F.lit("tree").alias("kind"), "id", F.lit(False).alias("exec")))
         out = out.unionAll(up)
-        todo = todo.where(deepest < at).unionAll(up)
     return out
 
 
@@ -119,22 +170,27 @@ def tree_id() -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ";"), 256)
 
 
-def flatten_tree(edges: DataFrame, root: str = "", depth: int = 32) -> DataFrame:
-    """(path, hash, exec) of the files below a folder; the control folder at the root is skipped. Ends with the deepest folder."""
+def flatten_tree(edges: DataFrame, root: str = "", longest: int = LONGEST_PATH, most: int = MOST_ENTRIES) -> DataFrame:
+    """(path, hash, exec) of the files below a folder; the control folder at the root is skipped. Levels are read until none is left;
+    raises beyond `most` entries, or for a path of more than `longest` bytes, which a tree that contains itself comes to."""
     edges = _written(edges)
     here = edges.where((F.col("dir") == root) & (F.col("name") != ".control")).select(F.col("name").alias("path"), "kind", "id", "exec")
-    files = here.where("kind = 'blob'")
-    folders = here.where("kind = 'tree'")
     below = edges.select(F.col("dir").alias("_dir"), "name", "kind", "id", "exec")
-    for _ in range(depth):
-        if folders.isEmpty():
+    levels, total = [_written(here)], 0
+    while True:
+        seen = levels[-1].agg(F.count("*"), F.coalesce(F.max(F.octet_length("path")), F.lit(0)), F.coalesce(F.max((F.col("kind") == "tree").cast("int")), F.lit(0))).first()
+        total += seen[0]
+        if total > most or seen[1] > longest:
+            raise ValueError("the tree goes beyond its bounds")
+        if not seen[2]:
             break
         prefix = F.col("_path") if not root else F.concat(F.lit(f"{root}/"), F.col("_path"))
-        step = folders.select(F.col("path").alias("_path")).join(below, prefix == F.col("_dir")).select(F.concat_ws("/", "_path", "name").alias("path"), "kind", "id", "exec")
-        step = _written(step)
-        files = files.unionAll(step.where("kind = 'blob'"))
-        folders = step.where("kind = 'tree'")
-    return files.select("path", F.col("id").alias("hash"), "exec")
+        folders = levels[-1].where("kind = 'tree'").select(F.col("path").alias("_path"))
+        levels.append(_written(folders.join(below, prefix == F.col("_dir")).select(F.concat_ws("/", "_path", "name").alias("path"), "kind", "id", "exec")))
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionAll(level)
+    return files.where("kind = 'blob'").select("path", F.col("id").alias("hash"), "exec")
 
 
 def write_once(objects: DataFrame, stored: DataFrame) -> DataFrame:
@@ -143,10 +199,19 @@ def write_once(objects: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def compare_and_set(updates: DataFrame, refs: DataFrame) -> DataFrame:
-    """(name, expected, new, current, accepted): an update holds iff its expected value is the current one; absent equals absent."""
-    now = refs.select("name", F.col("target").alias("current"))
-    joined = updates.join(now, "name", "left")
-    return joined.select("name", "expected", "new", "current", F.col("expected").eqNullSafe(F.col("current")).alias("accepted"))
+    """(repo, name, expected, new, current, accepted, ...): an update holds iff its expected value is the current one of its repository's reference; absent equals absent."""
+    now = refs.select("repo", "name", F.col("target").alias("current"))
+    joined = updates.join(now, ["repo", "name"], "left")
+    return joined.withColumn("accepted", F.col("expected").eqNullSafe(F.col("current")))
+
+
+def recovery(recorded: DataFrame, refs: DataFrame) -> DataFrame:
+    """(txn, repo, name, action, value): how an interrupted transaction (txn, repo, name, expected, new) is undone: `restore` what it had written,
+    nothing where it hadn't, and `foreign`, only reported, where another has moved the reference since."""
+    now = refs.select("repo", "name", F.col("target").alias("current"))
+    all_ = recorded.join(now, ["repo", "name"], "left")
+    action = F.when(F.col("current").eqNullSafe(F.col("expected")), "untouched").when(F.col("current").eqNullSafe(F.col("new")), "restore").otherwise("foreign")
+    return all_.select("txn", "repo", "name", action.alias("action"), F.when(action == "foreign", F.col("current")).otherwise(F.col("expected")).alias("value"))
 
 
 def all_or_nothing(checked: DataFrame, txn: str = "txn") -> DataFrame:

@@ -28,6 +28,27 @@ VIEWS: dict[str, str] = {
     "authority_steps": "SELECT id, repo, ts, branch, CASE WHEN event_type = 'error' AND CAST(floor(branch / 10) AS INT) % 4 = 3 THEN 1 ELSE 0 END AS modifies FROM commit_order",
     "authority_of": """SELECT id, repo, branch, ts, modifies, 1 + coalesce(sum(modifies) OVER (PARTITION BY repo ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cited FROM authority_steps""",
     "members": "SELECT DISTINCT user_id % 10 AS repo, user_id AS member, 1 + CAST(floor(user_id / 10) AS INT) % 4 AS role FROM events",
+    # Authorities by version, numbered within their repository; a member is left out of every seventh.
+    "authority_versions": "SELECT DISTINCT repo, version, repo * 100000 + version AS id FROM (SELECT repo, cited AS version FROM authority_of UNION ALL SELECT repo, cited + 1 AS version FROM authority_of WHERE modifies = 1) x",
+    "authority_members": "SELECT a.id, a.repo, a.version, m.member, m.role FROM authority_versions a JOIN members m ON m.repo = a.repo WHERE m.member % 7 <> a.version % 7 OR m.role = 4",
+    # History as it was pushed: some commits cite an authority too old, install a wrong one, or can't be read.
+    "pushed_commits": """SELECT a.id, a.repo, a.branch AS author, CAST(a.repo * 100000 + a.cited - CASE WHEN a.id % 53 = 0 THEN 1 ELSE 0 END AS BIGINT) AS authority,
+        CASE WHEN a.modifies = 1 THEN CAST(a.repo * 100000 + a.cited + CASE WHEN a.id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) END AS installs, a.id % 211 <> 0 AS readable, c.sig_valid FROM authority_of a JOIN commits c ON c.id = a.id""",
+    "pushed_releases": "SELECT r.id, r.repo, p.author AS declarer, p.authority, r.predecessor FROM releases r JOIN pushed_commits p ON p.id = r.id",
+    # Objects of all types and what they link to.
+    "typed_links": """SELECT 'c' || CAST(id AS STRING) AS src, 'tree' AS link, CASE WHEN id % 307 = 0 THEN 'b' ELSE 't' END || CAST(id % 300 AS STRING) AS dst FROM commits
+        UNION ALL SELECT 'c' || CAST(id AS STRING) AS src, 'authority' AS link, 'a' || CAST(repo * 100000 + cited AS STRING) AS dst FROM authority_of
+        UNION ALL SELECT 'c' || CAST(commit_id AS STRING) AS src, 'parent' AS link, 'c' || CAST(parent_id AS STRING) AS dst FROM commit_parents
+        UNION ALL SELECT 'r' || CAST(id AS STRING) AS src, 'predecessor' AS link, 'c' || CAST(predecessor AS STRING) AS dst FROM releases WHERE predecessor IS NOT NULL
+        UNION ALL SELECT 'r' || CAST(id AS STRING) AS src, 'parent_release' AS link, 'r' || CAST(parent_release AS STRING) AS dst FROM releases WHERE parent_release IS NOT NULL
+        UNION ALL SELECT 'r' || CAST(id AS STRING) AS src, 'tree' AS link, 't' || CAST(id % 400 AS STRING) AS dst FROM releases
+        UNION ALL SELECT 'a' || CAST(id AS STRING) AS src, 'previous' AS link, 'a' || CAST(id - 1 AS STRING) AS dst FROM authority_versions WHERE version > 1
+        UNION ALL SELECT DISTINCT 't' || CAST(id % 500 AS STRING) AS src, 'blob_entry' AS link, 'b' || CAST(id % 500 % 60 AS STRING) AS dst FROM commits
+        UNION ALL SELECT DISTINCT 't' || CAST(id % 500 AS STRING) AS src, 'tree_entry' AS link, 'u' || CAST(id % 500 % 40 AS STRING) AS dst FROM commits
+        UNION ALL SELECT DISTINCT 'u' || CAST(id % 45 AS STRING) AS src, 'blob_entry' AS link, 'b' || CAST(60 + id % 45 AS STRING) AS dst FROM commits""",
+    "typed_objects": """SELECT 'c' || CAST(id AS STRING) AS id, 'commit' AS type, id % 211 <> 0 AS readable, id % 30 AS age_days FROM commits UNION ALL SELECT 'r' || CAST(id AS STRING) AS id, 'release' AS type, true AS readable, id % 30 AS age_days FROM releases
+        UNION ALL SELECT 'a' || CAST(id AS STRING) AS id, 'authority' AS type, true AS readable, 20 AS age_days FROM authority_versions UNION ALL SELECT DISTINCT 't' || CAST(id % 500 AS STRING) AS id, 'tree' AS type, true AS readable, id % 500 % 30 AS age_days FROM commits
+        UNION ALL SELECT DISTINCT 'u' || CAST(id % 45 AS STRING) AS id, 'tree' AS type, id % 45 <> 7 AS readable, 20 AS age_days FROM commits UNION ALL SELECT DISTINCT 'b' || CAST(id % 105 AS STRING) AS id, 'blob' AS type, true AS readable, id % 105 % 30 AS age_days FROM commits""",
     # Snapshots: (l_orderkey, l_linenumber) grouped; base, ours and theirs drop and edit different residues.
     "tree_all": """SELECT 'o' || CAST(l_orderkey % 64 AS STRING) || '/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING) || '.' || lower(max(l_returnflag)) AS path,
         min(l_partkey) AS p, CAST(min(l_partkey) AS STRING) || ':' || CAST(count(*) AS STRING) AS content FROM lineitem GROUP BY l_orderkey, l_linenumber""",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths as P
@@ -14,26 +11,10 @@ from .operators import log as L
 from .operators import rules as R
 from .operators import snapshots as S
 from .operators.merge.dispatch import BY_EXTENSION, diff_report, merge_files
-from .plans.binding import Frames, oracle
+from .registry import query
 from .sources.objects import pack_objects, unpack_objects
 from .streaming import log as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers f(frames) as a query, with its SQL over tables and views."""
-
-    def put(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Frames(spark, sf_dir))
-        if sql:
-            ORACLES[name] = oracle(sql)
-        return f
-
-    return put
-
-
 # ---- snapshots
 
 DIFF = "SELECT coalesce(l.path, r.path) AS path, CASE WHEN l.path IS NULL THEN '{a}' WHEN r.path IS NULL THEN '{d}' ELSE '{m}' END AS change FROM {old} l FULL JOIN {new} r ON l.path = r.path WHERE l.path IS NULL OR r.path IS NULL OR l.hash <> r.hash OR l.exec <> r.exec"
@@ -115,12 +96,12 @@ ROW = "name || ':' || kind || ':' || id || ':' || CAST(exec AS STRING)"
     top AS (SELECT dir, sha256(string_agg({ROW}, ';' ORDER BY {ROW})) AS id FROM top_rows GROUP BY dir)
     SELECT * FROM low UNION ALL SELECT * FROM mid UNION ALL SELECT * FROM top""")
 def tree_ids(v):
-    return S.tree_edges(v["tree_base"], 3).groupBy("dir").agg(S.tree_id().alias("id"))
+    return S.tree_edges(v["tree_base"]).groupBy("dir").agg(S.tree_id().alias("id"))
 
 
 @query("tree_flatten", "SELECT path, hash, exec FROM tree_base")
 def tree_flatten(v):
-    return S.flatten_tree(S.tree_edges(v["tree_base"], 3))
+    return S.flatten_tree(S.tree_edges(v["tree_base"]))
 
 
 @query("ignore_filter", """SELECT path FROM tree_base WHERE NOT (CASE WHEN starts_with(path, 'o9/') THEN true WHEN path LIKE '%.n' AND NOT path LIKE 'o1%' THEN true ELSE false END)""")
@@ -152,22 +133,30 @@ LAST = f"SELECT u.txn, u.repo, u.signer, CAST(u.name AS STRING) AS name, u.expec
 BEFORE = "SELECT o.repo, CAST(o.branch AS STRING) AS name, o.first_parent AS target FROM commit_order o JOIN refs r ON r.target = o.id WHERE o.first_parent IS NOT NULL"
 
 
-@query("ref_cas", f"SELECT u.name, u.expected, u.new, b.target AS current, u.expected IS NOT DISTINCT FROM b.target AS accepted FROM ({LAST}) u LEFT JOIN ({BEFORE}) b ON u.name = b.name")
+@query("ref_cas", f"SELECT u.repo, u.name, u.expected, u.new, b.target AS current, u.expected IS NOT DISTINCT FROM b.target AS accepted FROM ({LAST}) u LEFT JOIN ({BEFORE}) b ON u.repo = b.repo AND u.name = b.name")
 def ref_cas(v):
-    return S.compare_and_set(v.sql(LAST), v.sql(BEFORE))
+    return S.compare_and_set(v.sql(LAST), v.sql(BEFORE)).select("repo", "name", "expected", "new", "current", "accepted")
 
 
 @query("multi_ref_transaction", f"""SELECT txn, min(CASE WHEN u.expected IS NOT DISTINCT FROM b.target THEN 1 ELSE 0 END) = 1 AS committed, count(*) AS updates
-    FROM (SELECT repo AS txn, name, expected FROM ({LAST}) y) u LEFT JOIN ({BEFORE}) b ON u.name = b.name GROUP BY txn""")
+    FROM (SELECT repo AS txn, repo, name, expected FROM ({LAST}) y) u LEFT JOIN ({BEFORE}) b ON u.repo = b.repo AND u.name = b.name GROUP BY txn""")
 def multi_ref_transaction(v):
-    updates = v.sql(LAST)
-    checked = S.compare_and_set(updates, v.sql(BEFORE)).join(updates.select("name", F.col("repo").alias("txn")), "name")
-    return S.all_or_nothing(checked)
+    return S.all_or_nothing(S.compare_and_set(v.sql(LAST).withColumn("txn", F.col("repo")), v.sql(BEFORE)))
+
+
+#: Transactions that were interrupted: some references already hold the new value, some were moved by others since.
+TORN = f"SELECT u.txn, u.repo, u.name, u.expected, u.new FROM ({LAST}) u"
+HALF = f"SELECT u.repo, u.name, CASE u.txn % 3 WHEN 0 THEN u.new WHEN 1 THEN u.expected ELSE u.txn + 1000000 END AS target FROM ({LAST}) u WHERE u.txn % 3 <> 1 OR u.expected IS NOT NULL"
+
+
+@query("ref_recovery", f"""SELECT r.txn, r.repo, r.name, CASE WHEN h.target IS NOT DISTINCT FROM r.expected THEN 'untouched' WHEN h.target IS NOT DISTINCT FROM r.new THEN 'restore' ELSE 'foreign' END AS action,
+    CASE WHEN h.target IS DISTINCT FROM r.expected AND h.target IS DISTINCT FROM r.new THEN h.target ELSE r.expected END AS value FROM ({TORN}) r LEFT JOIN ({HALF}) h ON h.repo = r.repo AND h.name = r.name""")
+def ref_recovery(v):
+    return S.recovery(v.sql(TORN), v.sql(HALF))
 
 
 # ---- graph
 
-TIP = "(SELECT max(target) FROM refs WHERE repo = 0)"
 UP = "WITH RECURSIVE up(id) AS (SELECT target FROM refs WHERE {where} UNION SELECT p.parent_id FROM up JOIN commit_parents p ON p.commit_id = up.id) "
 
 
@@ -175,43 +164,48 @@ def tips(v, where):
     return v["refs"].where(where).select(F.col("target").alias("root"))
 
 
-@query("ancestors", UP.format(where="branch = (SELECT min(branch) FROM refs)") + "SELECT id FROM up")
+def parts(v):
+    """The repository of each commit: searches stay in it."""
+    return v["commits"].select("id", F.col("repo").alias("part"))
+
+
+@query("ancestors", """WITH RECURSIVE up(root, id) AS (SELECT target, target FROM refs WHERE branch < 10 UNION SELECT up.root, p.parent_id FROM up JOIN commit_parents p ON p.commit_id = up.id) SELECT root, id FROM up""")
 def ancestors(v):
-    first = v["refs"].agg(F.min("branch")).first()[0]
-    return G.ancestors(v["commit_parents"], tips(v, F.col("branch") == F.lit(first))).select("id")
+    """The history of one branch of each repository, the first."""
+    return G.ancestors(v["commit_parents"], tips(v, "branch < 10"), parts(v))
 
 
-@query("have_want_diff", """WITH RECURSIVE want(id) AS (SELECT target FROM refs WHERE repo = 1 UNION SELECT p.parent_id FROM want JOIN commit_parents p ON p.commit_id = want.id),
-    have(id) AS (SELECT target FROM refs WHERE repo = 1 AND branch % 3 = 0 UNION SELECT p.parent_id FROM have JOIN commit_parents p ON p.commit_id = have.id)
+@query("have_want_diff", """WITH RECURSIVE want(id) AS (SELECT target FROM refs UNION SELECT p.parent_id FROM want JOIN commit_parents p ON p.commit_id = want.id),
+    have(id) AS (SELECT target FROM refs WHERE branch % 3 = 0 UNION SELECT p.parent_id FROM have JOIN commit_parents p ON p.commit_id = have.id)
     SELECT id FROM want WHERE id NOT IN (SELECT id FROM have)""")
 def have_want_diff(v):
-    return G.have_want(v["commit_parents"], tips(v, "repo = 1 AND branch % 3 = 0"), tips(v, "repo = 1"))
+    return G.have_want(v["commit_parents"], tips(v, "branch % 3 = 0"), tips(v, "true"), parts(v))
 
 
 @query("unreachable_objects", UP.format(where="branch % 2 = 0") + "SELECT id FROM commits WHERE id NOT IN (SELECT id FROM up)")
 def unreachable_objects(v):
-    return G.unreachable(v["commits"].select("id"), v["commit_parents"], v["refs"].where("branch % 2 = 0"))
+    return G.unreachable(v["commits"].select("id"), v["commit_parents"], v["refs"].where("branch % 2 = 0"), parts(v))
 
 
-LINE = "WITH RECURSIVE line(id, depth) AS (SELECT max(target), 0 FROM refs UNION ALL SELECT p.parent_id, depth + 1 FROM line JOIN commit_parents p ON p.commit_id = line.id AND p.ordinal = 0) "
+LINE = "WITH RECURSIVE line(root, id, depth) AS (SELECT target, target, CAST(0 AS BIGINT) FROM refs UNION ALL SELECT root, p.parent_id, depth + 1 FROM line JOIN commit_parents p ON p.commit_id = line.id AND p.ordinal = 0) "
 
 
-def newest_line(v):
-    return G.first_parent_log(v["commit_parents"], v["refs"].agg(F.max("target")).first()[0])
+def lines_of_all(v):
+    return G.first_parent_log(v["commit_parents"], tips(v, "true"), parts(v))
 
 
-@query("first_parent_log", LINE + "SELECT id, depth FROM line")
+@query("first_parent_log", LINE + "SELECT root, id, depth FROM line")
 def first_parent_log(v):
-    return newest_line(v)
+    return lines_of_all(v)
 
 
-@query("log_since", LINE + "SELECT id, depth FROM line WHERE depth < (SELECT coalesce(min(depth), 1000000) FROM line WHERE id % 10 = 0)")
+@query("log_since", LINE + "SELECT l.root, l.id, l.depth FROM line l LEFT JOIN (SELECT root, min(depth) AS cut FROM line WHERE id % 10 = 0 GROUP BY root) c ON c.root = l.root WHERE c.cut IS NULL OR l.depth < c.cut")
 def log_since(v):
-    return G.log_since(newest_line(v), v["commits"].where("id % 10 = 0").select("id"))
+    return G.log_since(lines_of_all(v), v["commits"].where("id % 10 = 0").select("id"))
 
 
 @query("release_chain", """WITH RECURSIVE newest AS (SELECT repo, id FROM (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id DESC) AS k FROM releases) x WHERE k = 1),
-    chain(repo, id, depth) AS (SELECT repo, id, 0 FROM newest UNION ALL SELECT chain.repo, r.parent_release, depth + 1 FROM chain JOIN releases r ON r.id = chain.id WHERE r.parent_release IS NOT NULL) SELECT repo, id, depth FROM chain""")
+    chain(repo, id, depth) AS (SELECT repo, id, CAST(0 AS BIGINT) FROM newest UNION ALL SELECT chain.repo, r.parent_release, depth + 1 FROM chain JOIN releases r ON r.id = chain.id WHERE r.parent_release IS NOT NULL) SELECT repo, id, depth FROM chain""")
 def release_chain(v):
     return G.release_chain(v["releases"])
 
@@ -225,13 +219,24 @@ def revision_hops(v):
 @query("topo_depth", """WITH RECURSIVE d(id, depth) AS (SELECT id, 0 FROM commits WHERE id NOT IN (SELECT commit_id FROM commit_parents) UNION SELECT p.commit_id, d.depth + 1 FROM d JOIN commit_parents p ON p.parent_id = d.id)
     SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM d GROUP BY id""")
 def topo_depth(v):
-    return G.topo_depth(v["commit_parents"], v["commits"])
+    return G.topo_depth(v["commit_parents"], v["commits"].withColumn("part", F.col("repo")))
+
+
+#: Each branch with the next of its repository.
+NEIGHBOURS = "SELECT a, b FROM (SELECT target AS a, lead(target) OVER (PARTITION BY repo ORDER BY branch) AS b FROM refs) x WHERE b IS NOT NULL"
 
 
 @query("merge_base")
 def merge_base(v):
-    a, b = (r[0] for r in v["refs"].where("repo = 2").select("target").orderBy("branch").limit(2).collect())
-    return v.spark.createDataFrame([(a, b, G.merge_base(v["commit_parents"], a, b))], "a long, b long, base long")
+    return G.merge_bases(v["commit_parents"], v.sql(NEIGHBOURS), parts(v))
+
+
+@query("reaches", f"""WITH RECURSIVE up(root, id) AS (SELECT DISTINCT a, a FROM ({NEIGHBOURS}) n UNION SELECT up.root, p.parent_id FROM up JOIN commit_parents p ON p.commit_id = up.id)
+    SELECT n.a AS start, o.first_parent AS goal, u.id IS NOT NULL AS reaches FROM ({NEIGHBOURS}) n JOIN commit_order o ON o.id = n.b LEFT JOIN up u ON u.root = n.a AND u.id = o.first_parent WHERE o.first_parent IS NOT NULL""")
+def reaches(v):
+    """If a branch holds what the next one of its repository held before its last commit."""
+    before = v["commit_order"].where("first_parent IS NOT NULL").select(F.col("id").alias("b"), F.col("first_parent").alias("goal"))
+    return G.reaches(v["commit_parents"], v.sql(NEIGHBOURS).join(before, "b").select(F.col("a").alias("start"), "goal"), parts(v))
 
 
 @query("effective_authority", "SELECT id, CASE WHEN modifies = 1 THEN cited + 1 ELSE cited END AS effective FROM authority_of")
@@ -259,18 +264,9 @@ def history_report(v):
     return R.history_report(v["commits"], v["commit_parents"], R.rule_h(v.sql(HISTORY), v["commit_parents"], v["members"]))
 
 
-@query("rule_p_verdicts", f"""WITH RECURSIVE u AS ({LAST}), b AS ({BEFORE}), reach(root, id) AS (SELECT DISTINCT new, new FROM u UNION SELECT reach.root, p.parent_id FROM reach JOIN commit_parents p ON p.commit_id = reach.id)
-    SELECT u.txn, CASE WHEN u.new IS NULL AND u.expected IS NULL THEN 'shape' WHEN u.expected IS DISTINCT FROM b.target THEN 'stale' WHEN coalesce(m.role, 0) < 2 THEN 'signer'
-    WHEN b.target IS NOT NULL AND k.id IS NULL AND NOT u.force THEN 'unforced' WHEN b.target IS NOT NULL AND k.id IS NULL AND u.name LIKE '%7' THEN 'protected' ELSE 'admitted' END AS verdict
-    FROM u LEFT JOIN b ON u.repo = b.repo AND u.name = b.name LEFT JOIN members m ON m.repo = u.repo AND m.member = u.signer LEFT JOIN reach k ON k.root = u.new AND k.id = b.target""")
-def rule_p_verdicts(v):
-    updates = v.sql(LAST)
-    reach = G.ancestors(v["commit_parents"], updates.where("new IS NOT NULL").select(F.col("new").alias("root")).distinct())
-    return R.admit(updates, v.sql(BEFORE), v["members"], reach, ["*7"])
-
-
 REPOS = "SELECT DISTINCT repo, repo % 3 = 0 AS public_read, repo % 5 <> 4 AS proved FROM commits"
-ASKED = "SELECT r.repo, m.member AS principal FROM (SELECT DISTINCT repo FROM commits) r JOIN (SELECT DISTINCT member FROM members WHERE member % 7 = 0) m ON (r.repo + m.member) % 2 = 0"
+#: Every member asks for their own repository and for the one after it, of which they are none.
+ASKED = "SELECT repo, member AS principal FROM members UNION ALL SELECT (repo + 1) % 10 AS repo, member AS principal FROM members"
 
 
 @query("read_permission", f"SELECT a.repo, a.principal, r.proved AND (r.public_read OR coalesce(m.role, 0) >= 1) AS may_read FROM ({ASKED}) a JOIN ({REPOS}) r ON a.repo = r.repo LEFT JOIN members m ON m.repo = a.repo AND m.member = a.principal")
@@ -278,10 +274,10 @@ def read_permission(v):
     return R.readers(v.sql(REPOS), v["members"], v.sql(ASKED))
 
 
-@query("receive_gate", f"SELECT b.repo AS batch, max(CASE WHEN x.id IS NULL THEN 0 ELSE 1 END) = 0 AS recorded FROM commits b LEFT JOIN (SELECT DISTINCT id FROM ({VIOLATIONS}) y WHERE rule = 'root') x ON x.id = b.id GROUP BY b.repo")
+@query("receive_gate", f"SELECT b.branch AS batch, max(CASE WHEN x.id IS NULL THEN 0 ELSE 1 END) = 0 AS recorded FROM commits b LEFT JOIN (SELECT DISTINCT id FROM ({VIOLATIONS}) y WHERE rule <> 'signer') x ON x.id = b.id GROUP BY b.branch")
 def receive_gate(v):
-    bad = R.rule_h(v.sql(HISTORY), v["commit_parents"], v["members"]).where("rule = 'root'")
-    return R.receive(bad, v["commits"].select(F.col("repo").alias("batch"), "id"))
+    bad = R.rule_h(v.sql(HISTORY), v["commit_parents"], v["members"]).where("rule <> 'signer'")
+    return R.receive(bad, v["commits"].select(F.col("branch").alias("batch"), "id"))
 
 
 @query("tree_completeness", "SELECT split_part(path, '/', 1) AS tree_id, path AS name, hash FROM tree_ours WHERE hash NOT IN (SELECT hash FROM tree_base)")
@@ -291,10 +287,29 @@ def tree_completeness(v):
     return R.missing_entries(entries, objects)
 
 
-@query("projection_modes", "SELECT commit_id AS src, parent_id AS dst, CASE WHEN ordinal = 0 THEN 'parent' ELSE 'note' END AS kind, CASE WHEN ordinal = 0 THEN 'verify-then-omit' ELSE 'reject' END AS action FROM commit_parents")
+#: A commit's first parents are ordinary ones, second ones come from a foreign closure; every 13th commit is a release's predecessor.
+EDGE_KINDS = """SELECT commit_id AS src, parent_id AS dst, CASE WHEN commit_id % 13 = 0 AND ordinal = 0 THEN CASE WHEN commit_id % 2 = 0 THEN 'predecessor_same_tree' ELSE 'predecessor_other_tree' END
+    WHEN ordinal = 0 THEN 'commit_parent' WHEN commit_id % 3 = 0 THEN 'foreign_fork_closure' ELSE 'note' END AS kind FROM commit_parents"""
+
+
+@query("projection_modes", f"""SELECT src, dst, kind, mode, CASE kind WHEN 'predecessor_other_tree' THEN 'reject' WHEN 'note' THEN 'reject' ELSE CASE WHEN mode = 'full' THEN 'retain'
+    WHEN kind = 'predecessor_same_tree' AND mode = 'release' THEN 'retain' ELSE 'verify-then-omit' END END AS action FROM ({EDGE_KINDS}) e JOIN (SELECT 'full' AS mode UNION ALL SELECT 'release' AS mode UNION ALL SELECT 'metadata' AS mode) m ON true""")
 def projection_modes(v):
-    edges = v["commit_parents"].select(F.col("commit_id").alias("src"), F.col("parent_id").alias("dst"), F.when(F.col("ordinal") == 0, "parent").otherwise("note").alias("kind"))
-    return R.project_edges(edges, "release")
+    edges = v.sql(EDGE_KINDS)
+    out = [R.project_edges(edges, mode).withColumn("mode", F.lit(mode)) for mode in R.MODES]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+#: Releases with their chain, the commits that they were declared on, and those commits' parents.
+RELEASE_EDGES = """SELECT id AS src, parent_release AS dst, 'parent_release' AS kind FROM (SELECT id + 10000000 AS id, parent_release + 10000000 AS parent_release, predecessor FROM releases) r WHERE parent_release IS NOT NULL
+    UNION ALL SELECT id + 10000000 AS src, predecessor AS dst, 'predecessor_same_tree' AS kind FROM releases WHERE predecessor IS NOT NULL
+    UNION ALL SELECT commit_id AS src, parent_id AS dst, 'commit_parent' AS kind FROM commit_parents"""
+
+
+@query("projection_closure", f"""WITH kept AS (SELECT id + 10000000 AS id FROM releases UNION SELECT predecessor AS id FROM releases WHERE predecessor IS NOT NULL)
+    SELECT id, true AS member FROM kept UNION ALL SELECT DISTINCT p.parent_id AS id, false AS member FROM commit_parents p JOIN kept k ON k.id = p.commit_id WHERE p.parent_id NOT IN (SELECT id FROM kept)""")
+def projection_closure(v):
+    return R.projection_closure(v.sql(RELEASE_EDGES), v["releases"].select((F.col("id") + 10_000_000).alias("root")), "release")
 
 
 # ---- log
@@ -313,10 +328,39 @@ DUCK_MICROS = "epoch_us(ts)"
 REQUESTS = "SELECT event_id AS request, user_id AS key, event_id % 3 AS nonce, {us} AS ts, {us} AS ts_us, {us} + (event_id % 700 - 350) * CAST(1000000 AS BIGINT) AS now_us FROM events"
 
 
-@query("replay_verdicts", f"""SELECT request, CASE WHEN now_us - ts_us > 300000000 THEN 'Late' WHEN now_us - ts_us < -300000000 THEN 'Early' WHEN ts_us - lag(ts_us) OVER (PARTITION BY key, nonce ORDER BY ts_us, request) <= 86400000000 THEN 'Replayed' ELSE 'Fresh' END AS verdict
-    FROM ({REQUESTS.format(us=DUCK_MICROS)}) r""")
+DAY = 86_400_000_000
+VERDICTS = f"""WITH RECURSIVE r AS (SELECT *, CASE WHEN now_us - ts_us > 300000000 THEN 'Late' WHEN now_us - ts_us < -300000000 THEN 'Early' END AS skewed FROM ({REQUESTS.format(us=DUCK_MICROS)}) q),
+    acc(key, nonce, t) AS (SELECT key, nonce, min(ts_us) FROM r WHERE skewed IS NULL GROUP BY key, nonce
+    UNION ALL SELECT key, nonce, t FROM (SELECT a.key, a.nonce, min(n.ts_us) AS t FROM acc a JOIN r n ON n.key = a.key AND n.nonce = a.nonce AND n.skewed IS NULL AND n.ts_us > a.t + {5 * DAY} GROUP BY a.key, a.nonce) x)
+    SELECT request, CASE WHEN skewed IS NOT NULL THEN skewed WHEN a.t IS NOT NULL THEN 'Fresh' ELSE 'Replayed' END AS verdict FROM r LEFT JOIN acc a ON a.key = r.key AND a.nonce = r.nonce AND a.t = r.ts_us"""
+
+
+@query("replay_verdicts", VERDICTS)
 def replay_verdicts(v):
-    return L.replay_verdicts(v.sql(REQUESTS.format(us=MICROS)), ttl_s=86_400)
+    return L.replay_verdicts(v.sql(REQUESTS.format(us=MICROS)), ttl_s=5 * 86_400)
+
+
+#: With room for a single nonce and no forgetting, the first one keeps its place and every other is refused.
+@query("replay_full", f"""SELECT request, CASE WHEN nonce <> first_nonce THEN 'Full' WHEN k = 1 THEN 'Fresh' ELSE 'Replayed' END AS verdict
+    FROM (SELECT request, nonce, first_value(nonce) OVER (PARTITION BY key ORDER BY ts_us, request) AS first_nonce, row_number() OVER (PARTITION BY key ORDER BY ts_us, request) AS k FROM ({REQUESTS.format(us=DUCK_MICROS)}) r) x""")
+def replay_full(v):
+    return L.bounded_replay(v.sql(REQUESTS.format(us=MICROS)).withColumn("ns", F.col("key")), ttl_s=10_000 * 86_400, most=1)
+
+
+CLAIMS = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'd' || CAST(event_id % 2 AS STRING) END AS durable, CASE WHEN event_id % 5 < 3 THEN 'd' || CAST(event_id % 4 AS STRING) END AS registered, 'd' || CAST(event_id % 2 AS STRING) AS incoming FROM events"
+
+
+@query("coalescing", f"""SELECT event_id, CASE WHEN durable = incoming THEN 'ReturnDurable' WHEN durable IS NOT NULL THEN 'OperationIdMismatch' WHEN registered = incoming THEN 'AttachToLeader'
+    WHEN registered IS NOT NULL THEN 'OperationIdMismatch' ELSE 'BecomeLeader' END AS decision FROM ({CLAIMS.replace("'d' || CAST(event_id % 2 AS STRING) END AS durable", "'d' || CAST(event_id % 7 % 2 AS STRING) END AS durable")}) c""")
+def coalescing(v):
+    claims = v.sql(CLAIMS.replace("'d' || CAST(event_id % 2 AS STRING) END AS durable", "'d' || CAST(event_id % 7 % 2 AS STRING) END AS durable"))
+    return claims.select("event_id", L.coalescing(F.col("durable"), F.col("registered"), F.col("incoming")).alias("decision"))
+
+
+@query("append_deadline", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'RemainResolving' WHEN event_id % 100 > 50 THEN 'RejectReceiptExpired' ELSE 'ContinuePreAppend' END AS decision FROM events")
+def append_deadline(v):
+    e = F.col("event_id")
+    return v["events"].select("event_id", L.deadline(e % 100, F.lit(50), e % 4 == 0).alias("decision"))
 
 
 OUTCOMES = """SELECT ns, op_id, attempt, CASE WHEN k = 1 THEN 'BecomeLeader' WHEN digest = lead_digest THEN 'ReturnDurable' ELSE 'OperationIdMismatch' END AS outcome
@@ -402,13 +446,30 @@ def namespace_lifecycle(v):
     return L.namespace_states(v.sql(LIFE))
 
 
-STAGING = "SELECT ns AS session, seq, CASE WHEN seq = 1 THEN 'begin' WHEN seq < 20 THEN 'put_chunk' WHEN seq = 20 THEN 'seal' WHEN seq = 21 THEN 'finalize' ELSE 'adopt' END AS kind, op_id % 9 AS chunk, seq * CAST(1000 AS BIGINT) AS ts_us, CAST(60000 AS BIGINT) AS now_us FROM txn_log WHERE seq <= ns % 26 + 1"
+#: Sessions of four chunks: a chunk comes twice, some with another digest; some are sealed too early, finalized unsealed, aborted, or go on after their end.
+STAGING = """SELECT ns AS session, seq, CASE WHEN seq = 1 THEN CASE WHEN ns % 17 = 0 THEN 'put_chunk' ELSE 'begin' END WHEN seq < 7 + ns % 4 THEN 'put_chunk' WHEN seq = 7 + ns % 4 THEN CASE WHEN ns % 11 = 0 THEN 'finalize' ELSE 'seal' END
+    WHEN seq = 8 + ns % 4 THEN CASE WHEN ns % 13 = 0 THEN 'abort' ELSE 'finalize' END WHEN seq = 9 + ns % 4 THEN 'adopt' ELSE CASE WHEN op_id % 2 = 0 THEN 'put_chunk' ELSE 'begin' END END AS kind,
+    CAST((seq + ns) % 5 AS BIGINT) AS chunk, 'd' || CAST(op_id % 2 AS STRING) AS digest, seq * CAST(1000 AS BIGINT) AS ts_us, CAST(5 AS BIGINT) AS total FROM txn_log WHERE seq <= 5 + ns % 9"""
+STEPS = f"""WITH RECURSIVE e AS ({STAGING}), s(session, seq, outcome, state, have, since) AS (SELECT DISTINCT session, CAST(0 AS BIGINT), '', '', CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT) FROM e
+    UNION ALL SELECT session, seq, outcome, CASE outcome WHEN 'Begun' THEN 'Open' WHEN 'Aborted' THEN 'Aborted' WHEN 'Moved' THEN CASE kind WHEN 'seal' THEN 'Sealed' WHEN 'finalize' THEN 'Finalizing' ELSE 'Adopted' END ELSE state END,
+    CASE outcome WHEN 'Stored' THEN list_append(have, CAST(chunk AS VARCHAR) || ':' || digest) ELSE have END, CASE WHEN outcome IN ('Begun', 'Stored', 'Moved', 'Aborted') THEN ts_us ELSE since END
+    FROM (SELECT s.session, e.seq, s.state, s.have, s.since, e.kind, e.chunk, e.digest, e.ts_us, CASE WHEN e.kind = 'begin' THEN CASE WHEN s.state = '' THEN 'Begun' ELSE 'refused: begun' END WHEN s.state = '' THEN 'refused: unknown'
+    WHEN e.kind = 'abort' THEN CASE WHEN s.state IN ('Open', 'Sealed') THEN 'Aborted' ELSE 'refused: ' || s.state END
+    WHEN s.state <> CASE e.kind WHEN 'put_chunk' THEN 'Open' WHEN 'seal' THEN 'Open' WHEN 'finalize' THEN 'Sealed' ELSE 'Finalizing' END THEN 'refused: ' || s.state
+    WHEN e.kind = 'put_chunk' AND list_contains(s.have, CAST(e.chunk AS VARCHAR) || ':' || e.digest) THEN 'AlreadyPresent' WHEN e.kind = 'put_chunk' AND (list_contains(s.have, CAST(e.chunk AS VARCHAR) || ':d0') OR list_contains(s.have, CAST(e.chunk AS VARCHAR) || ':d1')) THEN 'refused: digest'
+    WHEN e.kind = 'put_chunk' THEN 'Stored' WHEN e.kind = 'seal' AND len(s.have) <> e.total THEN 'refused: incomplete' ELSE 'Moved' END AS outcome FROM s JOIN e ON e.session = s.session AND e.seq = s.seq + 1) x) """
+STEP_ROWS = STEPS + "SELECT session, seq, outcome, CASE WHEN state <> '' THEN state END AS state, CAST(len(have) AS BIGINT) AS chunks FROM s WHERE seq > 0"
+
+
+@query("staging_steps", STEP_ROWS)
+def staging_steps(v):
+    return L.staging_steps(v.sql(STAGING))
 
 
-@query("staging_sessions", f"""SELECT session, CASE WHEN last < 21 AND 60000 - last * 1000 > 50000 THEN 'Expired' WHEN last < 20 THEN 'Open' WHEN last = 20 THEN 'Sealed' WHEN last = 21 THEN 'Finalizing' ELSE 'Adopted' END AS state, chunks
-    FROM (SELECT session, max(seq) AS last, count(DISTINCT CASE WHEN kind = 'put_chunk' THEN chunk END) AS chunks FROM ({STAGING}) s GROUP BY session) x""")
+@query("staging_sessions", STEPS + """SELECT session, CASE WHEN state IN ('Open', 'Sealed') AND 20000 - since > 10000 THEN 'Expired' ELSE state END AS state, chunks, refused
+    FROM (SELECT session, arg_max(state, seq) AS state, arg_max(CAST(len(have) AS BIGINT), seq) AS chunks, max(since) AS since, CAST(sum(CASE WHEN starts_with(outcome, 'refused') THEN 1 ELSE 0 END) AS BIGINT) AS refused FROM s WHERE seq > 0 GROUP BY session) x WHERE state <> ''""")
 def staging_sessions(v):
-    return L.staging_states(v.sql(STAGING), 50_000)
+    return L.staging_states(v.sql(STAGING), 20_000, 10_000)
 
 
 @query("chain_digests", """WITH RECURSIVE c(ns, seq, chained) AS (SELECT ns, seq, sha256(digest) FROM txn_log WHERE seq = 1 UNION ALL SELECT t.ns, t.seq, sha256(c.chained || t.digest) FROM c JOIN txn_log t ON t.ns = c.ns AND t.seq = c.seq + 1)
@@ -417,16 +478,35 @@ def chain_digests(v):
     return L.chain_digests(v["txn_log"])
 
 
-@query("group_formation")
+ARRIVALS = "SELECT user_id AS shard, event_id AS op_id, event_id * CAST(100 AS BIGINT) AS ts_us, 1000 + event_id % 5000 AS bytes FROM events"
+
+
+@query("group_formation", f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts_us, op_id) AS k FROM ({ARRIVALS}) x),
+    g(shard, op_id, k, grp, n, held, opened) AS (SELECT shard, op_id, k, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(bytes AS BIGINT), ts_us FROM a WHERE k = 1
+    UNION ALL SELECT a.shard, a.op_id, a.k, CASE WHEN c.closes THEN g.grp + 1 ELSE g.grp END, CASE WHEN c.closes THEN 1 ELSE g.n + 1 END, CASE WHEN c.closes THEN a.bytes ELSE g.held + a.bytes END, CASE WHEN c.closes THEN a.ts_us ELSE g.opened END
+    FROM g JOIN a ON a.shard = g.shard AND a.k = g.k + 1, LATERAL (SELECT g.n >= 8 OR g.held + a.bytes > 20000 OR a.ts_us - g.opened > 100000 AS closes) c) SELECT shard, op_id, grp FROM g""")
 def group_formation(v):
-    arrivals = v.sql("SELECT user_id % 4 AS shard, event_id AS op_id, event_id * CAST(100 AS BIGINT) AS ts_us, 1000 + event_id % 5000 AS bytes FROM events")
-    return L.form_groups(arrivals, txns=16, size=20_000, open_us=20_000)
+    return L.form_groups(v.sql(ARRIVALS), txns=8, size=20_000, open_us=100_000)
+
 
+#: Moves of four references by namespace; most expect what the one before set, some what was there earlier.
+CAS = "SELECT ns, seq, op_id % 4 AS name, CASE WHEN op_id % 7 = 0 THEN CAST(NULL AS BIGINT) WHEN op_id % 5 = 0 THEN two ELSE one END AS expected, op_id AS new FROM (SELECT *, lag(op_id) OVER (PARTITION BY ns, op_id % 4 ORDER BY seq) AS one, lag(op_id, 2) OVER (PARTITION BY ns, op_id % 4 ORDER BY seq) AS two FROM txn_log) x"
 
-@query("speculative_cas", "SELECT ns, seq, row_number() OVER (PARTITION BY ns, op_id % 4 ORDER BY seq) = 1 AS accepted FROM txn_log")
+
+@query("speculative_cas", f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY ns, name ORDER BY seq) AS k FROM ({CAS}) c),
+    s(ns, name, k, seq, accepted, held) AS (SELECT ns, name, k, seq, expected IS NULL, CASE WHEN expected IS NULL THEN new END FROM m WHERE k = 1
+    UNION ALL SELECT m.ns, m.name, m.k, m.seq, m.expected IS NOT DISTINCT FROM s.held, CASE WHEN m.expected IS NOT DISTINCT FROM s.held THEN m.new ELSE s.held END FROM s JOIN m ON m.ns = s.ns AND m.name = s.name AND m.k = s.k + 1)
+    SELECT ns, seq, accepted FROM s""")
 def speculative_cas(v):
-    moves = v.sql("SELECT ns, seq, op_id % 4 AS name, CAST(NULL AS BIGINT) AS expected, op_id AS new FROM txn_log")
-    return L.speculative_cas(moves)
+    return L.speculative_cas(v.sql(CAS))
+
+
+COUNTERS = "SELECT user_id % 4 AS shard, CAST(floor(event_id / 7) AS BIGINT) AS fence, event_id % 3 + 1 AS commits, 100 + event_id % 900 AS bytes FROM events"
+
+
+@query("store_counters", f"SELECT shard, CAST(sum(n) AS BIGINT) AS transactions, CAST(sum(c) AS BIGINT) AS commits, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS fences, max(n) AS largest_fence FROM (SELECT shard, fence, count(*) AS n, sum(commits) AS c, sum(bytes) AS b FROM ({COUNTERS}) l GROUP BY shard, fence) x GROUP BY shard")
+def store_counters(v):
+    return L.store_counters(v.sql(COUNTERS))
 
 
 # ---- text and merges
@@ -442,9 +522,13 @@ def message_subject(v):
     return v["documents"].select("doc_id", X.subject(F.col("text")).alias("subject"))
 
 
-@query("conflict_markers", "SELECT doc_id, false AS marked FROM documents")
+MARKED = """CASE doc_id % 5 WHEN 0 THEN concat(text, chr(10), '<<<<<<< ours', chr(10), 'a', chr(10), '=======', chr(10), 'b', chr(10), '>>>>>>> theirs', chr(10)) WHEN 1 THEN concat('=======', chr(10), text, chr(10), '<<<<<<< x', chr(10))
+    WHEN 2 THEN concat('<<<<<<< x', chr(13), chr(10), '=======', chr(13), chr(10), '>>>>>>>', chr(13), chr(10)) WHEN 3 THEN concat('<<<<<<< x', chr(10), '======= ', chr(10), '>>>>>>>') ELSE text END"""
+
+
+@query("conflict_markers", "SELECT doc_id, doc_id % 5 IN (0, 2) AS marked FROM documents")
 def conflict_markers(v):
-    return v["documents"].select("doc_id", X.has_conflict_markers(F.col("text")).alias("marked"))
+    return v.sql(f"SELECT doc_id, {MARKED} AS text FROM documents").select("doc_id", X.has_conflict_markers(F.col("text")).alias("marked"))
 
 
 FILES = "SELECT concat(CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.log' END) AS path, text AS base FROM documents"
@@ -542,11 +626,16 @@ def shard_of(v):
     return ids.select("id", L.shard_of(F.col("id"), 4).alias("shard"))
 
 
-@query("compaction", "SELECT ns, object, generation, off FROM (SELECT *, row_number() OVER (PARTITION BY ns, object ORDER BY generation DESC) AS k FROM index_runs WHERE generation % 8 IN (5, 6, 7)) x WHERE k = 1")
+#: Runs of very different sizes in two bands, 40 is the newest.
+RUNS = "SELECT CASE WHEN generation % 100 < 60 THEN 10 WHEN generation % 100 < 80 THEN 20 WHEN generation % 100 < 90 THEN 30 WHEN generation % 100 < 96 THEN 35 ELSE 40 END AS run, CASE WHEN generation % 100 < 60 THEN 1 ELSE 0 END AS band, ns, object, generation, off FROM index_runs"
+
+
+@query("compaction", f"""WITH RECURSIVE sizes AS (SELECT run, max(band) AS band, count(*) AS n, row_number() OVER (ORDER BY run DESC) AS k FROM ({RUNS}) r GROUP BY run),
+    pick(k, run, band, held, grp) AS (SELECT k, run, band, n, 1 FROM sizes WHERE k = 1 UNION ALL SELECT s.k, s.run, s.band, CASE WHEN s.band = p.band AND p.held + s.n <= {{most}} THEN p.held + s.n ELSE s.n END, CASE WHEN s.band = p.band AND p.held + s.n <= {{most}} THEN p.grp ELSE p.grp + 1 END FROM pick p JOIN sizes s ON s.k = p.k + 1),
+    groups AS (SELECT grp, count(*) AS c FROM pick GROUP BY grp), good AS (SELECT run FROM pick JOIN groups USING (grp) WHERE c > 1 AND grp < (SELECT coalesce(min(grp), 1000) FROM groups WHERE c = 1))
+    SELECT ns, object, generation, off FROM (SELECT *, row_number() OVER (PARTITION BY ns, object ORDER BY generation DESC) AS k FROM ({RUNS}) r WHERE run IN (SELECT run FROM good)) x WHERE k = 1""".replace("{most}", "(SELECT count(*) * 15 / 100 FROM events)"))
 def compaction(v):
-    runs = v["index_runs"].withColumn("run", F.col("generation") % 8)
-    sizes = [(r["run"], 1, 0) for r in runs.select("run").distinct().collect()]
-    return L.newest_wins(runs.where(F.col("run").isin(L.compaction_groups(sizes, 3)[0])))
+    return L.compacted(v.sql(RUNS), v["events"].count() * 15 / 100)[0]
 
 
 # ---- streams
@@ -554,21 +643,20 @@ def compaction(v):
 
 @query("stream_coalesce", OUTCOMES)
 def stream_coalesce(v):
-    return stream.replay(v.spark, v["submissions"], stream.coalesce)
+    return stream.replay(v["submissions"].withColumn("at", F.col("op_id") * 2 + F.col("attempt")), lambda x: stream.coalesce(x.drop("at")), "at")
 
 
 @query("stream_sequence", f"""SELECT ns, seq, problem FROM (SELECT ns, seq, CASE WHEN seq <> coalesce(p + 1, 1) THEN 'gap' WHEN prev_digest IS DISTINCT FROM d THEN 'chain' END AS problem
     FROM (SELECT ns, seq, prev_digest, lag(seq) OVER (PARTITION BY ns ORDER BY seq) AS p, lag(digest) OVER (PARTITION BY ns ORDER BY seq) AS d FROM ({HOLES}) h) x) y WHERE problem IS NOT NULL""")
 def stream_sequence(v):
-    return stream.replay(v.spark, v.sql(HOLES).withColumn("seq", F.col("seq").cast("long")), stream.sequence_check)
+    return stream.replay(v.sql(HOLES).withColumn("seq", F.col("seq").cast("long")), stream.sequence_check, "seq")
 
 
-@query("stream_replay_guard", "SELECT DISTINCT user_id AS key, event_id % 3 AS nonce FROM events")
+@query("stream_replay_guard", VERDICTS)
 def stream_replay_guard(v):
-    requests = v.sql("SELECT user_id AS key, event_id % 3 AS nonce, CAST(ts AS TIMESTAMP) AS at FROM events")
-    return stream.replay(v.spark, requests, stream.replay_guard).select("key", "nonce")
+    return stream.replay(v.sql(REQUESTS.format(us=MICROS)), lambda x: stream.replay_guard(x, ttl_s=5 * 86_400), "ts_us")
 
 
-@query("stream_staging", f"SELECT session, CASE WHEN last < 20 THEN 'Open' WHEN last = 20 THEN 'Sealed' WHEN last = 21 THEN 'Finalizing' ELSE 'Adopted' END AS state, chunks FROM (SELECT session, max(seq) AS last, count(DISTINCT CASE WHEN kind = 'put_chunk' THEN chunk END) AS chunks FROM ({STAGING}) s GROUP BY session) x")
+@query("stream_staging", STEP_ROWS)
 def stream_staging(v):
-    return stream.replay(v.spark, v.sql(STAGING), stream.staging, "update")
+    return stream.replay(v.sql(STAGING).withColumn("seq", F.col("seq").cast("long")), stream.staging, "seq")

@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def replay_guard(requests: DataFrame, ttl: str = "600 seconds") -> DataFrame:
-    """Requests (key, nonce, at), each nonce of a key once within its time to live; what comes later than that is dropped."""
-    return requests.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["key", "nonce"])
+def replay_guard(requests: DataFrame, ttl_s: int = 600, skew_s: int = 300) -> DataFrame:
+    """(request, verdict) of a stream of requests (request, key, nonce, ts_us, now_us): as log.replay_verdicts, requests of a nonce in the order they come.
+
+    State: the time of each nonce's last accepted request, on the requests' own clock, so how the stream is cut into batches changes nothing. The
+    watermark follows the clock of arrivals (now_us) at the time to live and twice the skew: once it has passed, no request is left that the
+    state could matter to, and it is dropped. Arrivals older than the watermark are, too.
+    """
+    from ..operators.log import judged_nonce, skew_verdict
+
+    marked = requests.withColumn("skewed", skew_verdict(F.col("ts_us"), F.col("now_us"), skew_s))
+    marked = marked.withColumn("arrived", F.timestamp_micros("now_us")).withWatermark("arrived", f"{ttl_s + 2 * skew_s} seconds")
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        accepted = state.get[0] if state.exists else None
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["ts_us", "request"])
+        for request, ts, skewed in zip(rows["request"].tolist(), rows["ts_us"].tolist(), rows["skewed"].tolist()):
+            if isinstance(skewed, str):
+                out.append((request, skewed))
+                continue
+            accepted, verdict = judged_nonce(accepted, ts, ttl_s * 1_000_000)
+            out.append((request, verdict))
+        if accepted is not None:
+            state.update((accepted,))
+            state.setTimeoutTimestamp(max(accepted // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["request", "verdict"])
+
+    return marked.groupBy("key", "nonce").applyInPandasWithState(judge, "request long, verdict string", "accepted long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def coalesce(submissions: DataFrame) -> DataFrame:
@@ -33,7 +61,8 @@ def coalesce(submissions: DataFrame) -> DataFrame:
 
 
 def sequence_check(log: DataFrame) -> DataFrame:
-    """(ns, seq, problem): gaps and broken chains of each namespace as its events come. State: the last sequence and digest."""
+    """(ns, seq, problem): gaps and broken chains of each namespace as its events come, batch by batch in the order of their sequences.
+    State: the last sequence and digest."""
 
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, digest = state.get if state.exists else (0, None)
@@ -52,37 +81,50 @@ def sequence_check(log: DataFrame) -> DataFrame:
     return log.groupBy("ns").applyInPandasWithState(check, "ns long, seq long, problem string", "seq long, digest string", "append", GroupStateTimeout.NoTimeout)
 
 
-def staging(events: DataFrame) -> DataFrame:
-    """(session, state, chunks): the state of each staging session after each batch; a chunk put twice is one."""
+def staging(events: DataFrame, quota: int = 1 << 16) -> DataFrame:
+    """(session, seq, outcome, state, chunks): as log.staging_steps, steps of a session in the order of their sequences over all batches.
+    State: where the session stands and its chunks' digests, `quota` at most."""
+    from ..operators.log import staged
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, chunks = state.get if state.exists else ("", "")
-        have = set(chunks.split(",")) - {""}
+        now: dict = {}
+        if state.exists:
+            name, total, ts, have, digests = state.get
+            now = {"state": name, "chunks": total, "ts": ts, "have": dict(zip(have, digests))}
         rows = pd.concat(list(batches)).sort_values("seq")
-        names = {"begin": "Open", "put_chunk": "Open", "seal": "Sealed", "finalize": "Finalizing", "adopt": "Adopted", "abort": "Aborted"}
-        for kind, chunk in zip(rows["kind"], rows["chunk"]):
-            name = names[kind]
-            if kind == "put_chunk":
-                have.add(str(int(chunk)))
-        state.update((name, ",".join(sorted(have))))
-        yield pd.DataFrame({"session": [key[0]], "state": [name], "chunks": [len(have)]})
-
-    return events.groupBy("session").applyInPandasWithState(step, "session long, state string, chunks long", "name string, chunks string", "update", GroupStateTimeout.NoTimeout)
-
-
-def replay(spark: SparkSession, rows: DataFrame, operator, mode: str = "append") -> DataFrame:
-    """What a streaming operator makes of rows, read as a stream of files to its end. Both tables lie in the shared folder."""
-    from ..operators.graph import _written
-
-    source = _written(rows)
-    path = source.inputFiles()[0].rsplit("/", 1)[0] if source.inputFiles() else None
-    if path is None:
-        return operator(rows)
-    out, name = f"{path}-out", f"{path}-state"
-    stream = operator(spark.readStream.schema(rows.schema).parquet(path))
-    if mode == "append":
-        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", name).trigger(availableNow=True).start(out)
-    else:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", name).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).start()
-    query.awaitTermination()
+        rows = rows.astype(object).where(rows.notna(), None)
+        out = []
+        for seq, kind, chunk, digest, ts, total in zip(*(rows[c] for c in ("seq", "kind", "chunk", "digest", "ts_us", "total"))):
+            outcome = staged(now, kind, None if chunk is None else int(chunk), digest, ts, total, quota)
+            out.append((key[0], seq, outcome, now.get("state"), len(now.get("have", ()))))
+        if now:
+            state.update((now["state"], now["chunks"], now["ts"], list(now["have"]), list(now["have"].values())))
+        yield pd.DataFrame(out, columns=["session", "seq", "outcome", "state", "chunks"])
+
+    shape = "state string, total long, ts long, have array<long>, digests array<string>"
+    return events.groupBy("session").applyInPandasWithState(step, "session long, seq long, outcome string, state string, chunks long", shape, "append", GroupStateTimeout.NoTimeout)
+
+
+def mirror(remote_updates: DataFrame, pass_once: Callable[[DataFrame, int], None], checkpoint: str):
+    """A query that runs a mirror's pass (operators.mirror.sync) for each batch of a stream of remote reference updates."""
+    return remote_updates.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(pass_once).start()
+
+
+def replay(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], order: str, batches: int = 3) -> DataFrame:
+    """What a streaming operator makes of rows, read as a stream of so many batches, cut by ranges of `order`. All tables lie in the shared folder."""
+    from ..operators.graph import _folder, _written
+
+    spark = rows.sparkSession
+    held = _written(rows)
+    cuts = held.agg(F.percentile_approx(order, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    path, out, state = (_folder(spark) for _ in range(3))
+    lower = None
+    # A file a batch, written one after the other: a stream of files takes them by their time.
+    for upper in [*sorted(set(cuts)), None]:
+        part = held if lower is None else held.where(F.col(order) > lower)
+        part = part if upper is None else part.where(F.col(order) <= upper)
+        part.coalesce(1).write.mode("append").parquet(path)
+        lower = upper
+    stream = operator(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -4,8 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from loomstone import queries, queries_history  # noqa: F401
 from loomstone.plans.binding import TABLES
-from loomstone.queries import ORACLES, QUERIES
+from loomstone.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loomstone.operators import graph as G
 from loomstone.operators import rules as R
 
@@ -42,29 +44,57 @@ def test_history(spark):
 def test_admission(spark):
     # 1 <- 2 <- 3 and 1 <- 4
     parents = spark.createDataFrame([(2, 0, 1), (3, 0, 2), (4, 0, 1)], "commit_id long, ordinal int, parent_id long")
-    refs = spark.createDataFrame([(0, "main", 2), (0, "side", 4)], "repo long, name string, target long")
-    members = spark.createDataFrame([(0, 7, 2), (0, 8, 1)], "repo long, member long, role int")
+    refs = spark.createDataFrame([(r, f"refs/branches/{n}", t) for r in range(3) for n, t in (("main", 2), ("side", 4), ("same", 4))], "repo long, name string, target long")
+    members = spark.createDataFrame([(r, m, role) for r in range(3) for m, role in ((7, 2), (8, 1), (9, 3))], "repo long, member long, role int")
+    repos = spark.createDataFrame([(0, True, True), (1, False, True), (2, True, False)], "repo long, has_current boolean, proved boolean")
     rows = [
-        (1, 7, "main", 2, 3, False),  # forward
-        (2, 7, "main", 3, 3, False),  # stale
-        (3, 8, "main", 2, 3, False),  # only a reader
-        (4, 7, "main", 2, 4, False),  # a rewrite without force
-        (5, 7, "side", 4, 3, True),  # a forced rewrite
-        (6, 7, "main", 2, 4, True),  # forced, but protected
-        (7, 7, "main", 2, 4, True), (7, 7, "side", 4, 3, True),  # both swap: each is still reached after the whole transaction
-        (8, 7, "new", None, 3, False),  # a creation
-        (9, 7, "new", None, None, False),  # a deletion without an expectation
+        (1, 0, 9, "main", 2, 3, False, "admitted"),
+        (2, 0, 7, "main", 3, 3, False, "stale"),
+        (3, 0, 8, "main", 2, 3, False, "signer"),
+        (4, 0, 9, "main", 2, 4, False, "unforced"),
+        (5, 0, 7, "side", 4, 3, True, "protected"),  # a forced rewrite needs a maintainer
+        (6, 0, 9, "side", 4, 3, True, "admitted"),
+        (7, 0, 7, "main", 2, 3, False, "protected"),  # as does any update of a protected branch
+        (8, 0, 9, "main", 2, 4, False, "unforced"), (8, 0, 9, "side", 4, 4, True, "unforced"),
+        (9, 0, 7, "new", None, 3, False, "admitted"),
+        (10, 0, 7, "new", None, None, False, "shape"),
+        (11, 0, 7, "side", 4, None, False, "admitted"),  # another reference still reaches it
+        (12, 0, 9, "main", 2, None, False, "unforced"),  # none does
+        (13, 0, 9, "main", 2, None, False, "admitted"), (13, 0, 9, "side", 4, 4, False, "admitted"), (13, 0, 9, "new", None, 3, False, "admitted"),
+        (14, 1, 9, "main", 2, 3, False, "no-current"),
+        (15, 2, 9, "main", 2, 3, False, "unproved"),
+        (16, 0, 9, "main", 2, 3, False, "incomplete"),
+        (17, 0, 9, "main", 2, 3, False, "history"),
+        (18, 0, 9, "main", 2, 3, False, "boundary"),
+        (19, 0, 9, "main", 2, 3, False, "fork"),
+        (20, 0, 9, "main", 2, 3, False, "shape"), (20, 0, 9, "main", 2, 3, False, "shape"),
+        (21, 0, 9, "main", 2, 3, False, "boundary"),
+        (22, 0, 9, "main", 2, 3, False, "admitted"),
     ]
-    updates = spark.createDataFrame([(t, 0, s, n, e, w, f) for t, s, n, e, w, f in rows], "txn long, repo long, signer long, name string, expected long, new long, force boolean")
-    reach = G.ancestors(parents, updates.where("new IS NOT NULL").selectExpr("new AS root").distinct())
-    found = {r["txn"]: r["verdict"] for r in R.admit(updates, refs, members, reach, ["main"]).collect()}
-    assert found == {1: "admitted", 2: "stale", 3: "signer", 4: "unforced", 5: "admitted", 6: "protected", 7: "admitted", 8: "admitted", 9: "shape"}
+    updates = spark.createDataFrame([(t, r, s, f"refs/branches/{n}", e, w, f) for t, r, s, n, e, w, f, _ in rows], "txn long, repo long, signer long, name string, expected long, new long, force boolean")
+    facts = {16: (1, 0, 0, None, 0, None), 17: (0, 2, 0, None, 0, None), 18: (0, 0, 1, False, 0, None), 19: (0, 0, 0, None, 1, False), 21: (0, 0, 2, True, 0, None), 22: (0, 0, 1, True, 1, True)}
+    exposed = spark.createDataFrame([(k, *x) for k, x in facts.items()], "txn long, missing int, violations int, boundaries int, boundary_ok boolean, forks int, fork_ok boolean")
+    reach = G.reaches(parents, R.asked_of_reach(updates, refs))
+    found = {r["txn"]: r["verdict"] for r in R.admit(updates, refs, repos, members, reach, exposed, ["main"]).collect()}
+    assert found == {t: v for t, *_, v in rows}
+    notes = updates.where("txn = 9").selectExpr("txn", "repo", "signer", "'refs/notes/x' AS name", "expected", "new", "force")
+    assert [r["verdict"] for r in R.admit(notes, refs, repos, members, reach, exposed, ["main"]).collect()] == ["shape"]
+    assert set(found.values()) == {*R.PRECEDENCE, "admitted"}
+
+
+def test_projection_rejects(spark):
+    edges = spark.createDataFrame([(1, 2, "release_envelope"), (2, 3, "commit_parent"), (3, 4, "commit_parent"), (9, 8, "predecessor_other_tree")], "src long, dst long, kind string")
+    root = spark.createDataFrame([(1,)], "root long")
+    assert {tuple(r) for r in R.projection_closure(edges, root, "release").collect()} == {(1, True), (2, True), (3, False)}
+    assert {tuple(r) for r in R.projection_closure(edges, root, "full").collect()} == {(k, True) for k in (1, 2, 3, 4)}
+    with pytest.raises(ValueError, match="rejects"):
+        R.projection_closure(edges, spark.createDataFrame([(9,)], "root long"), "full")
 
 
 def test_lineage_and_gate(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 2), (5, 4)], "src long, dst long")
     ids = spark.createDataFrame([(k,) for k in range(1, 6)], "id long")
-    ancestry = G.closure(links, ids.selectExpr("id AS root"))
+    ancestry = G.closure(links, ids.selectExpr("id AS root")).select("root", "id")
     current = spark.createDataFrame([(0, 3)], "repo long, current long")
     assert {r["id"] for r in R.conflicting_lineage(ids, ancestry, current).collect()} == {4, 5}
     bad = spark.createDataFrame([(2, "root")], "id long, rule string")
