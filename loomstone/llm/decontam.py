@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,20 +19,20 @@ from pyspark.sql import functions as F
 
 #: Latent dimensions, and the columns sketched beyond them.
 RANK, OVERSAMPLE = 64, 16
-#: Documents whose passages the SVD is fitted on (expected; taken by a hash). Document frequencies come from all.
-FIT_DOCS = 10_000
 #: Words of a passage when frequencies are counted and the space is fitted.
 PASSAGE = 32
 #: Lengths of windows, continued by half as much again up to the longest item; an item belongs to the least that holds it.
 SCALES = (8, 12, 18, 27, 40, 60, 90, 135, 200, 300)
-#: Cosine that makes a candidate, and the part of the item's weight (sum of squared IDF) that a window's words must have.
-NEAR, MASS = 0.6, 0.5
-#: Coverage of an item that convicts alone, or with its answer.
-COVERED, COVERED_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
+#: Cosine that makes a candidate, and the part of the item's weight (sum of squared IDF) that the words of a window, whichever they are, must have.
+NEAR, MASS = 0.6, 0.4
+#: The part of the weight of an item's different words that a region must share with it before the longest common subsequence is sought.
+SHARED = 0.4
+#: Coverage of an item that convicts: this, and more the shorter the item is (SHORT / words); less by EASED if its answer is there.
+COVERED, SHORT, EASED, ANSWER = 0.52, 2.0, 0.08, 0.75
 #: Words at the end of an item that count as its answer.
 ANSWER_WORDS = 5
-#: Words of texts that are compared together.
-TOGETHER = 20_000
+#: Words of texts that are compared together, and of regions whose words are looked up at once.
+TOGETHER, LOOKED_UP = 20_000, 1_000_000
 #: Items of the benchmark that one pass over the documents takes.
 ITEMS = 4096
 #: ASCII characters that aren't letters or digits part words.
@@ -43,13 +44,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Numbers of words; what it lacks has the number after all of them, and isn't added."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
+    """Numbers of words; what it lacks has the number after all of them."""
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.get, found, repeat(len(self))), np.int32, len(found))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -86,24 +84,27 @@ class Index:
             self.by_scale.setdefault(scale, []).append(k)
         self.square = np.append(self.idf**2, 0.0)
         self.scale_of = {k: scale for scale, ks in self.by_scale.items() for k in ks}
-        self.different = [len({*item}) for item in self.items]
+        self.different = [np.unique(item) for item in self.items]
+        self.weights = np.array([self.square[own].sum() for own in self.different])
+        # (item, word) of all items as one sorted array of numbers.
+        self.has = np.sort(np.concatenate([own.astype(np.int64) + k * len(self.square) for k, own in enumerate(self.different)]))
         self.vectors, self.masses = {}, {}
         for scale, ks in self.by_scale.items():
             v = np.stack([self.rows[self.items[k]].sum(0) for k in ks])
             self.vectors[scale] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             self.masses[scale] = np.array([self.square[self.items[k]].sum() for k in ks])
 
-    def near(self, ids: np.ndarray, bounds: np.ndarray, cut: float = NEAR) -> list[tuple[int, int, float]]:
-        """(item, start of window, cosine) of the windows of word ids that come near an item of their scale. No window leaves its text; bounds are the texts' starts.
+    def near(self, ids: np.ndarray, bounds: np.ndarray, cut: float = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arrays of items, starts of windows and cosines: the windows of word ids that come near an item of their scale. No window leaves its text; bounds are the texts' starts.
 
         A window with too little of the vocabulary's weight for any item of its scale is passed over before its vector is made.
         """
         mass = np.zeros(len(ids) + 1)
         np.cumsum(self.square[ids], out=mass[1:])
-        sums, out = None, []
+        sums, out = None, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         stops = np.append(bounds[1:], len(ids))
         for scale, ks in self.by_scale.items():
-            step = max(2, scale // 4)
+            step = max(2, scale // 3)
             # Steps of each text from its start to its end: the last windows hold the end alone.
             counts = -(-(stops - bounds) // step)
             starts = np.repeat(bounds, counts) + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
@@ -113,13 +114,39 @@ class Index:
             if not len(some):
                 continue
             if sums is None:
-                sums = np.zeros((len(ids) + 1, self.rows.shape[1]), np.float32)
-                np.cumsum(self.rows[ids], axis=0, out=sums[1:], dtype=np.float32)
+                # Running sums of the vectors of known words; upto: how many of them come before each place.
+                known = ids != len(self.idf)
+                upto = np.concatenate([[0], np.cumsum(known)])
+                sums = np.zeros((upto[-1] + 1, self.rows.shape[1]), np.float32)
+                np.cumsum(self.rows[ids[known]], axis=0, out=sums[1:], dtype=np.float32)
             starts, ends, own = starts[some], ends[some], own[some]
-            v = sums[ends] - sums[starts]
+            v = sums[upto[ends]] - sums[upto[starts]]
             cos = (v @ self.vectors[scale].T) / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-6)[:, None]
             r, c = np.nonzero((cos >= cut) & (own[:, None] >= MASS * self.masses[scale]))
-            out += [(ks[y], int(starts[x]), float(cos[x, y])) for x, y in zip(r, c)]
+            out.append((np.array(ks)[c], starts[r], cos[r, c].astype(float)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def sharing(self, ids: np.ndarray, bounds: np.ndarray, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """If the regions around windows share enough of the weight of the items' different words, for each window and item."""
+        stops = np.append(bounds[1:], len(ids))
+        own = np.searchsorted(bounds, starts, "right") - 1
+        scale = np.array([self.scale_of[k] for k in items.tolist()], np.int64)
+        a = np.maximum(starts - scale // 2, bounds[own])
+        n = np.minimum(starts + scale + scale // 2, stops[own]) - a
+        out, at = np.zeros(len(items), bool), 0
+        upto = np.cumsum(n)
+        while at < len(items):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOOKED_UP, "right")))
+            part = slice(at, end)
+            pair = np.repeat(np.arange(end - at), n[part])
+            place = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(a[part], n[part])
+            word = ids[place].astype(np.int64)
+            key = items[part][pair] * len(self.square) + word
+            found = self.has[np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)] == key
+            once = np.unique(pair[found] * len(self.square) + word[found])
+            shared = np.bincount(once // len(self.square), self.square[once % len(self.square)], end - at)
+            out[part] = shared >= SHARED * self.weights[items[part]]
+            at = end
         return out
 
     def check(self, ids: np.ndarray, item: int, starts: list[int]) -> tuple[float, float]:
@@ -135,13 +162,17 @@ class Index:
             else:
                 regions.append([a, b])
         for a, b in regions:
-            there = ids[a:b].tolist()
-            if len({*own}.intersection(there)) < COVERED_WITH_ANSWER * self.different[item] / 2:
-                continue
+            there = ids[a:b]
+            there = there.tolist()
             cover = common_subsequence(own, there) / len(own)
-            best = max(best, (cover, common_subsequence(tail, there) / len(tail)))
+            if cover > best[0]:
+                best = cover, common_subsequence(tail, there) / len(tail)
         return best
 
+    def convicts(self, item: int, cover: float, answer: float) -> bool:
+        bar = COVERED + SHORT / len(self.items[item])
+        return cover >= min(bar, 1.0) or (cover >= bar - EASED and answer >= ANSWER)
+
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
         """For each text (item_id, cosine, coverage, answer) of the items that it has."""
         if not hasattr(self, "rows"):
@@ -158,13 +189,16 @@ class Index:
             if places and (at >= TOGETHER or k == len(texts) - 1):
                 bounds = np.array([p[0] for p in places])
                 windows: dict[tuple[int, int], dict[int, float]] = {}
-                for item, start, cos in self.near(np.concatenate(pieces), bounds):
+                together = np.concatenate(pieces)
+                found = self.near(together, bounds)
+                some = self.sharing(together, bounds, found[0], found[1])
+                for item, start, cos in zip(*(x[some].tolist() for x in found)):
                     own = int(np.searchsorted(bounds, start, "right")) - 1
                     windows.setdefault((own, item), {})[start - places[own][0]] = cos
                 for (own, item), starts in sorted(windows.items()):
                     # Words outside the vocabulary are like none of an item's.
                     cover, answer = self.check(places[own][2], item, [*starts])
-                    if cover >= COVERED or (cover >= COVERED_WITH_ANSWER and answer >= ANSWER):
+                    if self.convicts(item, cover, answer):
                         out[places[own][1]].append((self.ids[item], max(starts.values()), cover, answer))
                 pieces, places, at = [], [], 0
         return [sorted(x) for x in out]
@@ -225,39 +259,41 @@ def build(docs: DataFrame, items: list[tuple[int, str]]) -> Index | None:
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1
 
     width = min(RANK + OVERSAMPLE, size)
-    omega = np.random.default_rng(7).standard_normal((size, width))
+    omega = np.random.default_rng(7).standard_normal((size, width), np.float32)
 
-    def weighted(p: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """A^T (A omega) of passages: rows of A are TF-IDF vectors of unit length."""
-        pairs, tf = np.unique(p * size + w, return_counts=True)
+    def add_weighted(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> None:
+        """Adds A^T (A omega) of passages to y: rows of A are TF-IDF vectors of unit length."""
+        both = np.sort(p * size + w)
+        firsts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        pairs, tf = both[firsts], np.diff([*firsts, len(both)])
         p, w = pairs // size, pairs % size
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        x = tf * idf[w]
+        x = (tf * idf[w]).astype(np.float32)
         norm = np.sqrt(np.add.reduceat(x * x, starts))
         counts = np.diff([*starts, len(p)])
         x = x / np.repeat(np.maximum(norm, 1e-9), counts)
-        z = np.add.reduceat(x[:, None] * omega[w], starts)
-        out, order = np.zeros((size, width)), np.argsort(w, kind="stable")
+        terms = omega[w]
+        terms *= x[:, None]
+        z = np.add.reduceat(terms, starts)
+        order = np.argsort(w, kind="stable")
         sorted_w = w[order]
         firsts = np.flatnonzero(np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]]))
-        out[sorted_w[firsts]] = np.add.reduceat((x[:, None] * np.repeat(z, counts, axis=0))[order], firsts)
-        return out
+        terms = z[np.repeat(np.arange(len(starts)), counts)[order]]
+        terms *= x[order, None]
+        y[sorted_w[firsts]] += np.add.reduceat(terms, firsts)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y = np.zeros((size, width))
         for batch in batches:
             for p, w, _ in passages(batch["text"].tolist()):
                 if len(p):
-                    y += weighted(p, w)
+                    add_weighted(y, p, w)
         yield blocks(y)
 
-    # One row: the expected part of the rows that makes FIT_DOCS.
-    part = min(1.0, FIT_DOCS / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("text")
-    y = summed(chosen.mapInPandas(sketch, "block int, values binary"), size * width).reshape(size, width)
+    y = summed(docs.select("text").mapInPandas(sketch, "block int, values binary"), size * width).reshape(size, width)
     own = [(np.full(len(ws), k), np.array([vocabulary[w] for w in ws])) for k, (_, ws) in enumerate(kept)]
     # The items are passages too.
-    y += weighted(np.concatenate([p for p, _ in own]), np.concatenate([w for _, w in own]))
+    add_weighted(y, np.concatenate([p for p, _ in own]), np.concatenate([w for _, w in own]))
     basis = np.linalg.svd(y, full_matrices=False)[0][:, :RANK]
     return Index([i for i, _ in kept], [[vocabulary[w] for w in ws] for _, ws in kept], vocabulary, idf, basis)
 
