@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remainder
 
 #: Hashed features, centroids of a language, and documents of a language that the clustering is fitted on (expected).
 WIDTH, CENTROIDS, FIT_DOCS = 4096, 3, 600
@@ -64,10 +65,6 @@ class Model:
         return [names[k] for k in best], 1 / e.sum(1), cos.max(1), cos.max(1) < self.floors[near]
 
 
-def remainder(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
-
-
 def cluster(x: np.ndarray, k: int, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means; starts far apart, from the row nearest to the mean. Returns centroids and each row's one."""
     mean = x.mean(0)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, remainder
+
 # Word lists of the grammar, fixed values.
 INSULTS = "idiot idiots moron morons loser losers stupid scum trash clown clowns worthless pathetic disgusting dumb fool fools imbecile jerk ugly garbage vermin coward liar creep filth pig freak brainless useless ignorant hateful dummkopf trottel arschloch idiota imbécil estúpido estúpida basura connard crétin débile".split()
 THREATS = "kill hurt destroy beat shoot stab strangle burn punish crush töten matar tuer".split()
@@ -26,11 +28,13 @@ TARGETS = "you your yours yourself u ur they them their he she him her people ev
 NEGATIONS = "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't won't can't cannot without hardly nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says say saying called calls quoted quote quotes wrote writes claimed reported according allegedly sagte schrieb dit dijo".split()
 
-#: Labelled rows that the weights are fitted on, at most; taken by the least hash of doc_id.
+#: Different labelled texts that the weights are fitted on, at most; taken by the least hash.
 FIT_ROWS = 20_000
 #: A word joins the insults if so many labelled toxic documents have it, in contexts that mostly differ, and so much likelier than clean ones.
 LEARN_DOCS, LEARN_CONTEXTS, LEARN_ODDS = 12, 0.6, 3.5
 THRESHOLD = 0.7
+#: Weights of documents beyond this are alike to the curve.
+ENOUGH = 4.0
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”«»]")
 ENDS = re.compile(r"[.!?;:\n]")
 
@@ -127,26 +131,21 @@ class Model:
             start = end - len(w) + 1
             if start < done or (start and (low[start - 1].isalnum() or low[start - 1] == "_")) or (end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")):
                 continue
-            a = max(low.rfind(x, max(done, 0), start) for x in ".!?;:\n") + 1
+            a = max(0, done, 1 + max(low.rfind(x, max(done, 0), start) for x in ".!?;:\n"))
             m = ENDS.search(low, end)
             done = m.end() if m else len(low)
             state, weight = self.grammar.start, 0.0
-            for x in WORD.finditer(low, max(a, 0), done):
+            for x in WORD.finditer(low, a, done):
                 state, _, plus = self.grammar.step(state, self.kinds.get(x[0], "O"))
                 weight += plus * (self.words.get(x[0], 1.0) if plus else 1.0)
-            out.append((max(a, 0), done, weight))
+            out.append((a, done, weight))
         return out
 
     def weight(self, text: str | None) -> float:
         return sum(w for _, _, w in self.clauses(text or ""))
 
     def probability(self, weight: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.cut + self.slope * np.minimum(weight, 4.0), -30, 30)))
-
-
-def remainder(doc_id):
-    """crc32 of doc_id as text, modulo 3; null for null."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+        return 1 / (1 + np.exp(-np.clip(self.cut + self.slope * np.minimum(weight, ENOUGH), -30, 30)))
 
 
 def word_statistics(labelled: DataFrame) -> DataFrame:
@@ -156,22 +155,21 @@ def word_statistics(labelled: DataFrame) -> DataFrame:
         import xxhash
 
         clean: Counter = Counter()
-        seen: set[int] = set()
         rows = []
+        shown = lambda: pd.DataFrame(rows, columns=["word", "toxic", "clean", "context"]).astype({"context": "Int64"})
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                if not isinstance(text, str) or (key := xxhash.xxh64_intdigest(text)) in seen:
-                    continue
-                seen.add(key)
                 words = WORD.findall(text.lower())
                 if toxic:
                     first = {w: k for k, w in reversed([*enumerate(words)])}
                     rows += [(w, 1, 0, xxhash.xxh32_intdigest(" ".join(words[max(k - 1, 0) : k] + ["_"] + words[k + 1 : k + 2]))) for w, k in first.items() if w.isalpha()]
                 else:
                     clean.update({w for w in words if w.isalpha()})
-            if rows:
-                yield pd.DataFrame(rows, columns=["word", "toxic", "clean", "context"]).astype({"context": "Int64"})
-                rows = []
+                if len(rows) > 20_000:
+                    yield shown()
+                    rows = []
+        if rows:
+            yield shown()
         if clean:
             yield pd.DataFrame({"word": [*clean], "toxic": 0, "clean": [*clean.values()], "context": pd.array([None] * len(clean), "Int64")})
 
@@ -179,14 +177,28 @@ def word_statistics(labelled: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.countDistinct("context").alias("contexts"))
 
 
+def training_texts(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, toxic): each different labelled text once, whatever rows have it; `rows` of them at most, those of the least hashes of doc_id
+    before texts are told apart. A table in the shared folder, the same however documents are partitioned."""
+    train = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(train), "doc_id")
+    once = materialize(found.select("text", "toxic").groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", (F.col("toxic") > 0).alias("toxic")))
+    if once.count() <= rows:
+        return once
+    # Only rows that repeat a doc_id with other texts lead here.
+    last = once.select(F.xxhash64("text").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    out = materialize(once.where(F.xxhash64("text") <= last))
+    discard(once)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from documents with a label whose crc32(doc_id as text) mod 3 is not 1, at most `rows` of them.
+    """A model from documents with a label whose crc32(doc_id as text) mod 3 is not 1, at most `rows` different texts of them.
 
-    Without such rows the fixed lists and weights hold. A doc_id with several labels counts as toxic if one says so.
+    Without such rows the fixed lists and weights hold. A doc_id or text with several labels counts as toxic if one says so.
     """
-    train = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    labelled = training_texts(docs, labels, rows)
     totals = {bool(r["toxic"]): r["count"] for r in labelled.groupBy("toxic").count().collect()}
     words = dict.fromkeys(INSULTS, 1.0)
     if len(totals) < 2:
@@ -202,20 +214,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     model = Model(words, frozenset(w for w in THREATS if w not in words))
     found = weights(labelled, model).toPandas()
     model.cut, model.slope = logistic(found["weight"].to_numpy(float), found["toxic"].to_numpy(float))
+    discard(labelled)
     return model
 
 
 def weights(labelled: DataFrame, model: Model) -> DataFrame:
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"weight": [model.weight(t if isinstance(t, str) else "") for t in batch["text"]], "toxic": batch["toxic"].astype(float)})
+            yield pd.DataFrame({"weight": [model.weight(t) for t in batch["text"]], "toxic": batch["toxic"].astype(float)})
 
     return labelled.mapInPandas(weigh, "weight double, toxic double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Newton's steps on cut and slope, with a weak prior so that a clean split stays finite."""
-    x = np.minimum(x, 4.0)
+    x = np.minimum(x, ENOUGH)
     b = np.array([-3.0, 3.0])
     data = np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
