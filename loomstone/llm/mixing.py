@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, with_running_total
+from .common import discard, materialize, unused, with_running_total
 
 #: Rounds of bisection: each narrows the exponent to a half.
 HALVINGS = 24
@@ -87,7 +87,10 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     b = budgets.select(F.col("source").alias("_source"), "repeats", "budget")
     epochs = narrow.join(b, F.col("source").eqNullSafe(F.col("_source"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("repeats") - 1e-9).cast("int") - 1)))
     epochs = epochs.withColumn("place", F.xxhash64("row_key", "epoch", F.lit(SEED))).drop("_source", "repeats")
-    placed = with_running_total(epochs, ["source"], ["epoch", "place", "row_key", "doc_id"], "tokens", "at").where("at < budget")
+    every = with_running_total(epochs, ["source"], ["epoch", "place", "row_key", "doc_id"], "tokens", "at")
+    # A source ends with the last place that starts within its budget; rows that repeat each other share a place, and stay together.
+    ends = every.where("at < budget").groupBy("source").agg(F.max(F.struct("epoch", "place")).alias("_last")).withColumnRenamed("source", "_source")
+    placed = every.join(ends, F.col("source").eqNullSafe(F.col("_source"))).where(F.struct("epoch", "place") <= F.col("_last")).drop("_source", "_last")
     discard(narrow)
     return budgets, placed
 
@@ -111,13 +114,15 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0) -> DataFrame:
-    """docs with each row as often as the mixture has it, all columns kept. Text isn't dealt: a source's last, partial
-    epoch is a range of its permutation, so each row is decided by its source's last place."""
+    """docs with each row as often as the mixture has it, all columns kept, whatever their names. Text isn't dealt: a source's last, partial
+    epoch is a range of its permutation, so each row is decided by its source's last place. Null sources are one source, null texts
+    have a token, their end; repeated rows are mixed alike; an empty table gives no rows."""
     budgets, placed = plan(docs, target_entropy, max_repeats)
-    last = placed.groupBy("source", "epoch").agg(F.max("place").alias("last_place"))
-    final = last.groupBy("source").agg(F.max_by("last_place", "epoch").alias("_last_place"), F.max("epoch").alias("_last_epoch")).withColumnRenamed("source", "_source")
-    final = materialize(final)
-    out = docs.withColumn("_row_key", row_key(docs)).join(final, docs["source"].eqNullSafe(final["_source"]))
-    within = F.xxhash64("_row_key", "_last_epoch", F.lit(SEED)) <= F.col("_last_place")
-    copies = F.col("_last_epoch") + F.when(within, 1).otherwise(0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select(*docs.columns)
+    key, source, epoch, place, copy = (unused(x, docs.columns) for x in ("_row_key", "_source", "_last_epoch", "_last_place", "_copy"))
+    ends = placed.groupBy("source").agg(F.max(F.struct("epoch", "place")).alias("m"))
+    ends = materialize(ends.select(F.col("source").alias(source), F.col("m.epoch").alias(epoch), F.col("m.place").alias(place)))
+    discard(budgets)
+    out = docs.withColumn(key, row_key(docs)).join(ends, F.col("source").eqNullSafe(F.col(source)))
+    within = F.xxhash64(key, epoch, F.lit(SEED)) <= F.col(place)
+    copies = F.col(epoch) + F.when(within, 1).otherwise(0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select(*docs.columns)
