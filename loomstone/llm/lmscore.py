@@ -18,39 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix, word_hashes
+
 #: Added to the count of each word of the vocabulary after each word.
 KAPPA = 0.01
 #: Words of documents that are packed together.
 PACK_WORDS = 1_000_000
-_words: dict[bytes, int] = {}
 START = np.uint64(0x51AB1E5EED)
 DOCUMENTS, TARGET, HEADER = 0, 1, 2
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text: what ASCII white space parts, A-Z lower-cased."""
-    import xxhash
-
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_words) > 1_000_000:
-        _words.clear()
-    get, one, ids = _words.get, xxhash.xxh3_64_intdigest, []
-    for w in found:
-        h = get(w)
-        if h is None:
-            h = one(w)
-            if len(w) < 40:
-                _words[w] = h
-        ids.append(h)
-    return np.array(ids, np.uint64)
-
-
 def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bigrams, the first with START, and of their first words; kinds are told apart by the lowest bit."""
     before = np.concatenate([[START], ids[:-1]]).astype(np.uint64)
@@ -59,12 +36,13 @@ def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary_size(*texts: DataFrame) -> int:
-    """Different words of all texts, to within a hundredth."""
+    """Different words of all texts, as the models read them; at least one."""
     every = texts[0]
     for t in texts[1:]:
         every = every.unionAll(t)
-    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t-\r]+"))
-    return max(1, every.select(word.alias("word")).agg(F.approx_count_distinct("word", 0.01)).first()[0])
+    words = every.select(F.explode(F.split("text", r"[ \t-\r]+")).alias("word")).where("word <> ''").distinct()
+    upper = "".join(map(chr, range(65, 91)))
+    return max(1, words.select(F.translate("word", upper, upper.lower()).alias("word")).distinct().count())
 
 
 def pack(source: DataFrame, side: int, buckets: int) -> DataFrame:
@@ -81,7 +59,7 @@ def pack(source: DataFrame, side: int, buckets: int) -> DataFrame:
         for batch in batches:
             names, todo, n, start = batch.column(0).to_pylist(), [], 0, 0
             for k, t in enumerate(batch.column(1)):
-                ids = tokens(t.as_py())
+                ids = word_hashes(t.as_py())
                 todo.append(ids)
                 n += len(ids)
                 if n >= PACK_WORDS or k == len(names) - 1 or len(todo) >= 60_000:
