@@ -46,7 +46,7 @@ def none(spark):
 
 def crowded(docs):
     """docs with more columns, some of them with the names of those that the operators make."""
-    return docs.withColumns({"tokens": F.lit(1), "shard": F.lit(2), "score": F.lit("x"), "id": F.lit(3), "root": F.lit(4), "bucket": F.lit(5), "epoch": F.lit(6), "nth": F.lit(7)})
+    return docs.withColumns({"tokens": F.lit(1), "shard": F.lit(2), "score": F.lit("x"), "id": F.lit(3), "root": F.lit(4), "bucket": F.lit(5), "epoch": F.lit(6), "nth": F.lit(7), "_source": F.lit(8), "_row_key": F.lit(9), "_copy": F.lit("c"), "_set": F.lit(10), "_Place": F.lit(11), "home": F.lit(12)})
 
 
 def test_running_total(spark):
@@ -102,6 +102,7 @@ def test_mixing(spark, docs, none):
     assert set(times) == {r["doc_id"] for r in docs.collect()}
     whole = mixed_documents(crowded(docs))
     assert whole.columns == crowded(docs).columns
+    assert {(r["_source"], r["_row_key"], r["_copy"]) for r in whole.collect()} == {(8, 9, "c")}
     assert Counter(r["doc_id"] for r in whole.collect()) == times
     assert mix(none).count() == 0 and mixed_documents(none).count() == 0
 
@@ -250,6 +251,18 @@ def test_jaccard_descending_copies(spark):
     assert {r["doc_id"] for r in one_of_each(made, 4, 85, 100).collect()} == {2, 3}
 
 
+def test_one_of_each_repeated_ids(spark):
+    """Rows of one doc_id with other texts are documents of their own; of a row that repeats another one stays; nothing without words goes."""
+    from loomstone.llm.jaccard import one_of_each, similarity_classes
+
+    base, other = " ".join(f"v{k}" for k in range(40)), " ".join(f"z{k}" for k in range(40))
+    rows = [(5, base, "en", "s", 1), (5, other, "en", "s", 1), (7, base, "en", "s", 1), (8, other, "en", "s", 1), (8, other, "en", "s", 1), (9, "", "en", "s", 1), (9, None, "en", "s", 1), (None, base, "en", "s", 1)]
+    df = crowded(spark.createDataFrame(rows, DOCS))
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in one_of_each(df).collect())
+    assert kept == sorted([(False, 5, base), (False, 5, other), (False, 9, ""), (False, 9, ""), (True, 0, base)])
+    assert sorted((r["doc_id"], r["component_id"]) for r in similarity_classes(df.where("doc_id IS NOT NULL")).collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (8, 5), (9, 9), (9, 9)]
+
+
 def test_secrets(spark, none):
     from loomstone.llm.secretscan import Automaton, find_secrets, symbols
 
@@ -275,6 +288,35 @@ def test_secrets(spark, none):
     assert find_secrets(none).count() == 0
 
 
+def test_learned_secrets(spark):
+    """Bare credentials of formats that only labelled ones show are found; ordinary tokens aren't."""
+    import string
+
+    from loomstone.llm.secretscan import find_secrets, fit
+
+    rng = random.Random(7)
+    alnum, upper, hexa = string.ascii_letters + string.digits, string.ascii_uppercase + "234567", "0123456789abcdef"
+    formats = [(hexa, 20), (hexa, 28), (alnum, 20), (alnum, 32), (upper, 20)]
+    made = lambda f: "".join(rng.choice(f[0]) for _ in range(f[1]))
+    syllables = ["ber", "lich", "tion", "ment", "ing", "ou", "ver", "ent", "ar", "os", "qui", "ther", "Ge", "Un"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3, 5, 7])))
+    usual = lambda: rng.choice([word] * 20 + [lambda: str(rng.randrange(10**15, 10**16)), lambda: f"{word()}.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"2024-{rng.randrange(1, 13):02}-11", lambda: f"/{word()}/{word()}/{word()}"])()
+    text = lambda middle: " ".join([*(usual() for _ in range(60)), middle, *(usual() for _ in range(60))])
+    rows = [(k, text(f"api_key = '{made(formats[k % 5])}'"), "en", "s", 1) for k in range(300)]
+    bare = {1000 + k: made(formats[k % 5]) for k in range(200)}
+    rows += [(k, text(x), "en", "s", 1) for k, x in bare.items()]
+    df = crowded(spark.createDataFrame(rows + [rows[0], (None, text(made(formats[0])), None, None, None)], DOCS))
+    model = fit(df)
+    assert all(a.states > 1 for a in model.automata.values())
+    found = find_secrets(df, model).collect()
+    caught = {r["doc_id"] for r in found for x in r["spans"].split(",") if r["doc_id"] in bare and x.startswith("learned")}
+    assert len(found) == len(rows) + 2 and len(caught) >= 0.9 * len(bare)
+    texts = {r[0]: r[1] for r in rows}
+    spans = [(r["doc_id"], *map(int, x.split(":")[1:])) for r in found if r["doc_id"] is not None for x in r["spans"].split(",") if x.startswith("learned")]
+    false = [texts[d][a:b] for d, a, b in spans if texts[d][a:b] != bare.get(d)]
+    assert len(false) <= 0.001 * 121 * len(rows), false[:10]
+
+
 def test_fingerprints(spark, docs, none):
     from loomstone.llm.fingerprint import fingerprints
 
@@ -352,6 +394,32 @@ def test_decontamination(spark, docs, none):
         assert common_subsequence(a, b) == table[-1][-1]
 
 
+def test_decontamination_paraphrases(spark):
+    """Items with three words in ten replaced are found; candidates that the space and the weights leave out are few against an exhaustive search."""
+    from loomstone.llm.decontam import common_subsequence, leaks, words
+
+    sf = "/root/testdata/sf0.01"
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    pool = [w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(100).collect() for w in r["text"].split()]
+    rng, rows = random.Random(3), []
+    for k, (_, text) in enumerate(items):
+        own = [rng.choice(pool) if rng.random() < 0.3 else w for w in text.split()]
+        rows.append((k, " ".join(rng.choices(pool, k=50) + own + rng.choices(pool, k=50)), "en", "s", 1))
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    wanted = {(k, i) for k, (i, _) in enumerate(items)}
+    assert len(found & wanted) >= 0.85 * len(wanted) and not found - wanted
+    number: dict = {}
+    ids = lambda t: [number.setdefault(w, len(number)) for w in words(t)]
+    exhaustive = set()
+    for k, text, *_ in rows:
+        there = ids(text)
+        for i, item in items:
+            own = ids(item)
+            if common_subsequence(own, there) / len(own) >= 0.52 + 2 / len(own) + 0.05:
+                exhaustive.add((k, i))
+    assert len(found & exhaustive & wanted) >= 0.95 * len(exhaustive & wanted)
+
+
 def test_decontamination_long_items(spark):
     """Items beyond the longest fixed window are found, verbatim and with a fifth of their words changed, alone or within a text."""
     from loomstone.llm.decontam import leaks
@@ -381,7 +449,7 @@ def test_lm_scores(spark, docs, none):
     words = lambda t: (t or "").encode().lower().split()
     size = lmscore.vocabulary_size(docs.select("text"), target)
     exact = len({w for r in rows for w in words(r["text"])} | {w for r in target.collect() for w in words(r["text"])})
-    assert abs(size - exact) <= max(3, 0.03 * exact)
+    assert size == exact
     models = []
     for texts in ([r["text"] for r in target.collect()], [r["text"] for r in rows]):
         two, one = Counter(), Counter()
@@ -412,7 +480,12 @@ def test_toxicity(spark, docs, none):
     assert weigh('she said "you are an idiot"') < weigh("you are an idiot")
     assert weigh("I will kill you") > 0 and weigh("to kill time") == 0 and weigh("idiotic scummy") == 0
     assert weigh("") == weigh(None) == weigh("kind words. and more") == 0
+    assert abs(weigh("you are an idiot. you scum!") - weigh("you are an idiot.") - weigh("you scum!")) < 1e-9
+    assert [(a, b) for a, b, _ in model.clauses("Quite so. You idiot! You scum.")] == [(9, 20), (20, 30)]
     sf = SF.replace("0.001", "0.01")
+    whole, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fits = [fit(whole.repartition(n), marks) for n in (1, 16)]
+    assert fits[0].words == fits[1].words and abs(fits[0].cut - fits[1].cut) < 1e-6 and abs(fits[0].slope - fits[1].slope) < 1e-6
     rows = Q.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
     hit = sum(r["predicted"] and r["toxic"] for r in held)
