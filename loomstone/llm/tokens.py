@@ -31,21 +31,27 @@ MAGIC = b"\nTOKSEG1\n"
 FOOTER = struct.Struct("<IIQQQ")
 #: Tokens after which a segment ends, at the next document's end.
 SEGMENT_TOKENS = 4_000_000
-#: Chunks that a worker remembers the ids of.
-REMEMBERED = 1_500_000
+#: Chunks that a worker remembers the ids of, twice: those met of late and those before them. About 160 bytes each.
+REMEMBERED = 600_000
+#: The same for the starts of texts.
+STARTS = 50_000
 _encoders: dict[str, Encoder] = {}
 
 
 class Remembered(dict):
-    """The bytes of the ids of each chunk seen, found by `make` where missing; emptied when there are REMEMBERED."""
+    """The bytes of the ids of chunks, found by `make` where missing. When there are `most`, they become the ones
+    before; of those, chunks that come again are taken over, the others forgotten next time."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self.make(chunk)
-        if len(self) >= REMEMBERED:
+        out = self.before.get(chunk)
+        if out is None:
+            out = self.make(chunk)
+        if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
         if len(chunk) < 64:
             self[chunk] = out
@@ -74,8 +80,8 @@ class Encoder:
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.odd = re.compile("|".join([r"[\x1c-\x1f\x85]", *map(re.escape, self.special)])).search
         self.doubled = re.compile(r" (?:\s|$)").search
-        self.chunks = Remembered(self.chunk)
-        self.spaced = Remembered(lambda word: self.chunk(f" {word}"))
+        self.starts = Remembered(self.chunk, STARTS)
+        self.spaced = Remembered(lambda word: self.chunk(f" {word}"), REMEMBERED)
         # Only the byte-level scheme with this pre-tokenization can be cut so.
         probe = "It's 12  odd\n étés, we'll\tsee..."
         self.cut = self.by_chunk(probe) == self.packed(self.whole.encode(probe, add_special_tokens=False).ids)
@@ -89,9 +95,9 @@ class Encoder:
 
     def by_chunk(self, text: str) -> bytes:
         if self.doubled(text):
-            return b"".join([self.chunks[x] for x in re.split(r"(?= \S)", text) if x])
+            return b"".join([self.spaced[x[1:]] if x[0] == " " else self.starts[x] for x in re.split(r"(?= \S)", text) if x])
         first, *rest = text.split(" ")
-        return (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        return (self.starts[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers."""

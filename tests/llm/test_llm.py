@@ -522,3 +522,20 @@ def test_pipeline(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in kept.collect())
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
+
+
+def test_token_caches_are_bounded():
+    import public_tokenizers
+
+    from loomstone.llm.tokens import Encoder, Remembered
+
+    made = []
+    kept = Remembered(lambda chunk: made.append(chunk) or chunk.encode(), 100)
+    for k in range(1000):
+        assert (kept["often"], kept[f"w{k}"]) == (b"often", b"w%d" % k)
+    assert made.count("often") == 1 and len(kept) + len(kept.before) <= 200
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    starts = len(e.starts)
+    text = "first  then " + " ".join(f"v{k}  x{k}" for k in range(300))
+    assert np.frombuffer(e.ids(text), "<u2").tolist() == e.whole.encode(text, add_special_tokens=False).ids
+    assert len(e.starts) <= starts + 1
