@@ -70,6 +70,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words that a worker remembers the hashes of, about 140 bytes each; forgotten when there are more.
+WORDS = 200_000
 _words: dict[bytes, int] = {}
 
 
@@ -78,7 +80,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_words) > 1_000_000:
+    if len(_words) > WORDS:
         _words.clear()
     get, one, ids = _words.get, xxhash.xxh3_64_intdigest, []
     for w in words:

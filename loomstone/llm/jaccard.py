@@ -30,6 +30,8 @@ PLACE = 4096
 #: Sets of a place that are sifted by signatures in one task; all sets of a longer run are one group, for the exact comparison to part.
 RUN = 50_000
 LEAF = 32
+#: Keys after which a pack ends, at the next text's end: it bounds what a worker holds, however many and long the texts of a batch are.
+PACK = 1 << 19
 #: Bits of the filter of candidate documents, at most: it bounds what is sent to all executors (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -95,36 +97,45 @@ def dealt(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Data
     of keys; equal sets of a pack are one. A row without holds the doc_ids of the pack, the sets and sizes of their texts.
     """
 
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+    def pack(names: list[int | None], every: list[int], sizes: list[int], which: list[int], arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = [(int(every[0] % buckets), b"", np.array(every, np.int64).tobytes(), b"", names, sizes)]
+        if arrays:
+            keys, at = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, at, bucket, which = keys[order], at[order], bucket[order], np.array(which, np.int64)
+            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(bounds)):
+                part = slice(bounds[b], bounds[b + 1])
+                own, counts = np.unique(at[part], return_counts=True)
+                # Within a bucket 40 bits tell keys apart but for a few, which cost a look at a signature.
+                short = np.ascontiguousarray(keys[part].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+                rows.append((int(b), short, which[own].tobytes(), counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), None, None))
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), types)], names=["bucket", "keys", "sets", "counts", "docs", "sizes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, types = Scheme(num, den), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        scheme = Scheme(num, den)
         for batch in batches:
-            names, every, sizes, which, arrays, seen = batch.column(0).to_pylist(), [], [], [], [], set()
-            for doc, t in zip(names, batch.column(1)):
+            names, every, sizes, which, arrays, seen, held = [], [], [], [], [], set(), 0
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(t.as_py(), width)
                 own = set_hash(s)
+                names.append(doc)
                 every.append(own)
                 sizes.append(len(s))
                 if len(s) and doc is not None and own not in seen:
                     seen.add(own)
                     which.append(own)
                     arrays.append(scheme.keys(s))
-            if not names:
-                continue
-            rows = [(int(every[0] % buckets), b"", np.array(every, np.int64).tobytes(), b"", names, sizes)]
-            if arrays:
-                keys, at = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-                bucket = (keys % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                keys, at, bucket, which = keys[order], at[order], bucket[order], np.array(which, np.int64)
-                bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(bounds)):
-                    part = slice(bounds[b], bounds[b + 1])
-                    own, counts = np.unique(at[part], return_counts=True)
-                    # Within a bucket 40 bits tell keys apart but for a few, which cost a look at a signature.
-                    short = np.ascontiguousarray(keys[part].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-                    rows.append((int(b), short, which[own].tobytes(), counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), None, None))
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), types)], names=["bucket", "keys", "sets", "counts", "docs", "sizes"])
+                    held += len(arrays[-1])
+                if held >= PACK:
+                    yield from pack(names, every, sizes, which, arrays)
+                    names, every, sizes, which, arrays, seen, held = [], [], [], [], [], set(), 0
+            if names:
+                yield from pack(names, every, sizes, which, arrays)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "bucket int, keys binary, sets binary, counts binary, docs array<long>, sizes array<long>")

@@ -539,3 +539,15 @@ def test_token_caches_are_bounded():
     text = "first  then " + " ".join(f"v{k}  x{k}" for k in range(300))
     assert np.frombuffer(e.ids(text), "<u2").tolist() == e.whole.encode(text, add_special_tokens=False).ids
     assert len(e.starts) <= starts + 1
+
+
+def test_words_and_packs_of_a_worker_are_bounded(spark):
+    from loomstone.llm import common
+    from loomstone.llm.jaccard import dealt
+
+    for k in range(0, 400_000, 1000):
+        common.word_hashes(" ".join(f"u{j}" for j in range(k, k + 1000)))
+    assert len(common._words) <= 210_000
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200), x -> concat('w', id, '_', x)), ' ') AS text")
+    packs = dealt(rows, 5, 80, 100, 4).where("docs IS NOT NULL").select("docs").collect()
+    assert len(packs) > 1 and sorted(d for p in packs for d in p["docs"]) == list(range(5000))
