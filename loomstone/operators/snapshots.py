@@ -170,27 +170,28 @@ def tree_id() -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ";"), 256)
 
 
-def flatten_tree(edges: DataFrame, root: str = "", longest: int = LONGEST_PATH, most: int = MOST_ENTRIES) -> DataFrame:
+def flatten_tree(edges: DataFrame, root: str = "", longest: int = LONGEST_PATH, most: int | None = MOST_ENTRIES) -> DataFrame:
     """(path, hash, exec) of the files below a folder; the control folder at the root is skipped. Levels are read until none is left;
-    raises beyond `most` entries, or for a path of more than `longest` bytes, which a tree that contains itself comes to."""
+    raises beyond `most` entries (none: as many as there are, since edges have each entry at its own path), or for a path of more than `longest` bytes, which a tree that contains itself comes to."""
     edges = _written(edges)
-    here = edges.where((F.col("dir") == root) & (F.col("name") != ".control")).select(F.col("name").alias("path"), "kind", "id", "exec")
-    below = edges.select(F.col("dir").alias("_dir"), "name", "kind", "id", "exec")
-    levels, total = [_written(here)], 0
+    own = edges.where((F.col("dir") != root) | (F.col("name") != ".control"))
+    folders, total = [edges.sparkSession.createDataFrame([(root,)], "dir string")], 0
+    inner = lambda path: F.expr(f"substring({path}, {len(root) + 2})") if root else F.col(path)
+    # Only folders are kept level by level; files are read once, at the end.
     while True:
-        seen = levels[-1].agg(F.count("*"), F.coalesce(F.max(F.octet_length("path")), F.lit(0)), F.coalesce(F.max((F.col("kind") == "tree").cast("int")), F.lit(0))).first()
+        below = own.select("dir", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name").alias("path"), "kind").join(folders[-1], "dir").select(inner("path").alias("path"), F.col("path").alias("dir"), (F.col("kind") == "tree").alias("tree"))
+        seen = below.agg(F.count("*"), F.coalesce(F.max(F.octet_length("path")), F.lit(0)), F.coalesce(F.max("tree"), F.lit(False))).first()
         total += seen[0]
-        if total > most or seen[1] > longest:
+        if (most is not None and total > most) or seen[1] > longest:
             raise ValueError("the tree goes beyond its bounds")
         if not seen[2]:
             break
-        prefix = F.col("_path") if not root else F.concat(F.lit(f"{root}/"), F.col("_path"))
-        folders = levels[-1].where("kind = 'tree'").select(F.col("path").alias("_path"))
-        levels.append(_written(folders.join(below, prefix == F.col("_dir")).select(F.concat_ws("/", "_path", "name").alias("path"), "kind", "id", "exec")))
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionAll(level)
-    return files.where("kind = 'blob'").select("path", F.col("id").alias("hash"), "exec")
+        folders.append(_written(below.where("tree").select("dir")))
+    all_ = folders[0]
+    for level in folders[1:]:
+        all_ = all_.unionAll(level)
+    files = own.where("kind = 'blob'").join(all_, "dir")
+    return files.select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "name").alias("path"), F.col("id").alias("hash"), "exec").withColumn("path", inner("path"))
 
 
 def write_once(objects: DataFrame, stored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone import queries
 from loomstone.functions.paths import glob_match, ignored, normalised, path_under, valid_ref_name
 from loomstone.functions.text import has_conflict_markers, looks_binary
 from loomstone.operators import graph as G
@@ -207,6 +208,17 @@ def test_flatten_bounds(spark):
     assert S.flatten_tree(ring).count() == 0
 
 
+def test_flatten_beyond_the_bound(spark, monkeypatch):
+    """The query has every file of the snapshot, also beyond the bound for untrusted trees, which stays."""
+    files = spark.range(40).select(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("path"), F.lit("1").alias("hash"), F.lit(False).alias("exec"))
+    edges = S.tree_edges(files)
+    with pytest.raises(ValueError, match="bounds"):
+        S.flatten_tree(edges, most=40)
+    assert S.flatten_tree(edges, most=None).count() == 40
+    monkeypatch.setattr(S.flatten_tree, "__defaults__", ("", S.LONGEST_PATH, 40))
+    assert queries.tree_flatten({"tree_base": files}).count() == 40
+
+
 def test_revisions(spark):
     ids = {k: f"{k:02x}" * 32 for k in range(1, 8)}
     ids[8] = "0101" + "ff" * 30
