@@ -18,9 +18,14 @@ def wanted(remote_refs: DataFrame, mode: str) -> DataFrame:
 def sync(local_refs: DataFrame, remote_refs: DataFrame, edges: DataFrame, local_ids: DataFrame, mode: str = "full", parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(objects, refs): one pass. objects (id): what the wanted references reach, local ones don't, and the store hasn't yet; refs (name, target, action): each
     reference `created`, `advanced` or `kept`, local ones that the remote doesn't have `kept` too. References move only after their objects."""
-    want = wanted(remote_refs, mode)
     roots = lambda df: df.select(F.col("target").alias("root")).distinct()
-    objects = difference(edges, roots(local_refs), roots(want), parts).join(local_ids.select("id"), "id", "left_anti")
+    objects = difference(edges, roots(local_refs), roots(wanted(remote_refs, mode)), parts).join(local_ids.select("id"), "id", "left_anti")
+    return objects, moves(local_refs, remote_refs, mode)
+
+
+def moves(local_refs: DataFrame, remote_refs: DataFrame, mode: str = "full") -> DataFrame:
+    """The references (name, target, action) after a pass; no search is needed to tell."""
+    want = wanted(remote_refs, mode)
     both = want.select("name", F.col("target").alias("new")).join(local_refs.select("name", F.col("target").alias("old")), "name", "full_outer")
     action = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull() | (F.col("new") == F.col("old")), "kept").otherwise("advanced")
-    return objects, both.select("name", F.coalesce("new", "old").alias("target"), action.alias("action"))
+    return both.select("name", F.coalesce("new", "old").alias("target"), action.alias("action"))

@@ -75,6 +75,23 @@ def test_reached_by_parts(spark):
     assert {r["id"] for r in G.reached(G.commit_edges(empty), roots).collect()} == {59, 30}
 
 
+def test_places_bound_rounds(spark, monkeypatch):
+    """Blocks by place: a chain of 400 in blocks of 20 edges takes about 20 rounds, where blocks by hash take hundreds; with some edges that lead to later places too."""
+    monkeypatch.setattr(G, "BLOCK_EDGES", 20)
+    rows = [(k, k - 1) for k in range(1, 400)] + [(k, k + 25) for k in range(0, 300, 60)] + [(500, 399), (501, 500)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    parts = spark.range(400).select("id", F.lit(1).alias("part"), (F.col("id") * 10).alias("place"))
+    rounds, kept = [], G._written
+    monkeypatch.setattr(G, "_written", lambda df: (rounds.append(1), kept(df))[1])
+    assert {r["id"] for r in G.reached(edges, spark.createDataFrame([(501,)], "root long"), parts).collect()} == {*range(400), 500, 501}
+    assert len(rounds) < 60
+    some = some_graph()
+    reach = reach_of(some)
+    edges = G.commit_edges(spark.createDataFrame(some, "commit_id long, ordinal int, parent_id long"))
+    found = G.difference(edges, spark.createDataFrame([(30,)], "root long"), spark.createDataFrame([(59,)], "root long"), spark.range(60).select("id", (F.col("id") % 2).alias("part"), F.col("id").alias("place")))
+    assert {r["id"] for r in found.collect()} == reach(59) - reach(30)
+
+
 def test_cycles_end(spark):
     ring = spark.createDataFrame([(1, 0, 2), (2, 0, 3), (3, 0, 1)], "commit_id long, ordinal int, parent_id long")
     tip = spark.createDataFrame([(1,)], "root long")
