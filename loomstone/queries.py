@@ -170,6 +170,11 @@ def parts(v):
     return v["commits"].select("id", F.col("repo").alias("part"))
 
 
+def places(v):
+    """parts() with the time of each commit, which its parents don't come after."""
+    return v["commits"].select("id", F.col("repo").alias("part"), F.expr(MICROS).alias("place"))
+
+
 @query("ancestors", """WITH RECURSIVE up(root, id) AS (SELECT target, target FROM refs WHERE branch < 10 UNION SELECT up.root, p.parent_id FROM up JOIN commit_parents p ON p.commit_id = up.id) SELECT root, id FROM up""")
 def ancestors(v):
     """The history of one branch of each repository, the first."""
@@ -237,7 +242,7 @@ def merge_base(v):
 def reaches(v):
     """If a branch holds what the next one of its repository held before its last commit."""
     before = v["commit_order"].where("first_parent IS NOT NULL").select(F.col("id").alias("b"), F.col("first_parent").alias("goal"))
-    return G.reaches(v["commit_parents"], v.sql(NEIGHBOURS).join(before, "b").select(F.col("a").alias("start"), "goal"), parts(v))
+    return G.reaches(v["commit_parents"], v.sql(NEIGHBOURS).join(before, "b").select(F.col("a").alias("start"), "goal"), places(v))
 
 
 @query("effective_authority", "SELECT id, CASE WHEN modifies = 1 THEN cited + 1 ELSE cited END AS effective FROM authority_of")
