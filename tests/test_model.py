@@ -324,6 +324,28 @@ def test_bodies(spark, tmp_path):
     assert [r["path"] for r in B.walk_folder(spark, f"file://{tmp_path}/work", ["*.log"]).collect()] == ["x.txt"]
 
 
+def test_plain_documents_read_as_toml(monkeypatch):
+    """What the pattern reads and what it leaves to the parser come to what the parser makes of it; a long plain list isn't parsed member by member."""
+    import tomllib
+
+    member = '[[members]]\nkey = "{}"\nhandle = "h{}"\nrole = "owner"\n'
+    head, tail = 'repo_id = "ab"\nversion = 3\nprevious_authority = "cd"\n', '[policy]\npublic_read = true\n'
+    many = "".join(member.format(k, k) for k in range(3))
+    odd = [head + many + tail, head + many, head + tail, many + tail, head + many + '[policy]\nmembers = "x"\n', head + 'x = """\n' + many + '"""\n' + tail, head + "x = '''\n" + many + "'''\n", head + many.replace('"h1"', '"h\\u0031"') + tail,
+           head + many.replace('role = "owner"\n', 'role = "owner"\nsince = 4\n', 1) + tail, head + many + tail + many, head + "# note\n" + many, head.replace("\n", "\r\n") + many, head + "members = 4\n" + many, head + many.replace('"h2"', '"h\t2"'), head + many + "[policy", head + head + many, head + "a = [\n" + many]
+    for text in odd:
+        try:
+            wanted = tomllib.loads(text)
+        except ValueError:
+            with pytest.raises(ValueError):
+                B._toml(text)
+        else:
+            assert B._toml(text) == wanted
+    read = []
+    monkeypatch.setattr(B.tomllib, "loads", lambda text, kept=tomllib.loads: (read.append(len(text)), kept(text))[1])
+    assert len(B.parse_authority(head + "".join(member.format(k, k) for k in range(5000)) + tail)["members"]) == 5000 and max(read) < 200
+
+
 def test_store(spark, tmp_path):
     at = f"file://{tmp_path}/store"
     objects = spark.createDataFrame([("aa01", "blob", bytearray(b"123")), ("bb02", "tree", bytearray(b"")), ("aa01", "blob", bytearray(b"123"))], "id string, type string, body binary")
