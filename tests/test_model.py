@@ -186,6 +186,21 @@ def test_replay_guard(spark, batches):
     assert {r["request"]: r["verdict"] for r in stream.replay(df, stream.replay_guard, "ts_us", batches).collect()} == wanted
 
 
+@pytest.mark.parametrize("lots", [1, 64])
+def test_coalesced_in_lots(spark, monkeypatch, lots):
+    """Operations of a lot don't mix, whatever batch an attempt comes in."""
+    monkeypatch.setattr(stream, "LOTS", lots)
+    rng = random.Random(4)
+    rows = [(ns, (1 << 60) + op, attempt, rng.choice("xy")) for ns in (0, 1) for op in range(40) for attempt in range(rng.choice([1, 2, 3]))]
+    led, wanted = {}, set()
+    for ns, op, attempt, digest in sorted(rows, key=lambda r: r[2]):
+        first = led.setdefault((ns, op), digest)
+        wanted.add((ns, op, attempt, "BecomeLeader" if not attempt else "ReturnDurable" if first == digest else "OperationIdMismatch"))
+    df = spark.createDataFrame(rows, "ns long, op_id long, attempt int, digest string").withColumn("at", F.col("attempt"))
+    found = stream.replay(df, lambda x: stream.coalesce(x.drop("at")), "at")
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
 def test_full_guard(spark):
     rows = [(0, 1, 1, 0), (0, 2, 2, 10), (0, 3, 3, 20), (0, 4, 1, 30), (0, 5, 3, 150), (0, 6, 1, 160)]
     df = spark.createDataFrame([(n, r, x, t * 1_000_000) for n, r, x, t in rows], "ns long, request long, nonce long, ts_us long")
